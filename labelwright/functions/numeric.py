@@ -9,6 +9,11 @@ from pyspark.sql import Column, functions as F
 TOLERANCE = 1e-9
 
 
+def nan_as_null(value: Column) -> Column:
+    """A rating that is no number is a missing rating."""
+    return F.when(~F.isnan(value), value)
+
+
 def round_half_even(value: Column) -> Column:
     return F.bround(value)
 

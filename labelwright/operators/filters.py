@@ -8,18 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from labelwright import DOMAIN, MIN_CHARS
-from labelwright.functions.numeric import percent, round_half_even, valid_label
+from labelwright.functions.numeric import nan_as_null, percent, round_half_even, valid_label
 from labelwright.functions.text import not_blank, strip_text, text_length
 
 Stage = tuple[str, Column]
 
 
 def project_reviews(raw: DataFrame, *keep: str) -> DataFrame:
-    """The review columns, typed and renamed; an unreadable rating becomes null."""
+    """The review columns, typed and renamed; an unreadable rating or NaN is null."""
     return raw.select(
         *keep,
         F.col("text"),
-        F.col("rating").try_cast("double").alias("rating"),
+        nan_as_null(F.col("rating").try_cast("double")).alias("rating"),
         F.col("asin"),
         F.col("user_id").alias("reviewerID"),
     )

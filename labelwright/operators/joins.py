@@ -52,12 +52,12 @@ def salted_join(
         )
         .drop("_hot")
     )
-    numbers = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
-    )
+    numbers = F.when(
+        F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    ).otherwise(F.array(F.lit(0).cast("bigint")))
     salted_right = (
         right.join(hot, key_col, "left")
-        .withColumn("_salt", F.explode(numbers).cast("bigint"))
+        .withColumn("_salt", F.explode(numbers))
         .drop("_hot")
     )
     return salted_left.join(salted_right, [key_col, "_salt"], how).drop("_salt")

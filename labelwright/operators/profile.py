@@ -11,11 +11,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
-from labelwright.functions.numeric import percent
+from labelwright.functions.numeric import nan_as_null, percent
 from labelwright.functions.text import text_key, text_length
 
 
+def with_nan_as_null(df: DataFrame) -> DataFrame:
+    """NaN counts as missing in every profile figure."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))]
+    return df.withColumns({name: nan_as_null(F.col(name)) for name in floats}) if floats else df
+
+
 def table_shape(df: DataFrame) -> DataFrame:
     """n_rows, n_cols and the column names."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
@@ -37,19 +44,19 @@ def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         )
         for i, name in enumerate(columns)
     ]
-    return df.agg(F.count(F.lit(1)).alias("_rows"), *nulls).select(F.inline(F.array(*rows)))
+    return with_nan_as_null(df).agg(F.count(F.lit(1)).alias("_rows"), *nulls).select(F.inline(F.array(*rows)))
 
 
 def class_counts(df: DataFrame, label_col: str = "rating") -> DataFrame:
     """(label, n) for the labels that are present."""
-    return df.filter(F.col(label_col).isNotNull()).groupBy(label_col).agg(
+    return with_nan_as_null(df).filter(F.col(label_col).isNotNull()).groupBy(label_col).agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
 def class_distribution(df: DataFrame, label_col: str = "rating") -> DataFrame:
     """Count and percentage per class; the percentage is of all rows."""
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    counts = with_nan_as_null(df).groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return counts.filter(F.col(label_col).isNotNull()).select(
         label_col, "n", percent(F.col("n"), total).alias("pct")
@@ -58,7 +65,7 @@ def class_distribution(df: DataFrame, label_col: str = "rating") -> DataFrame:
 
 def length_cube(df: DataFrame, text_col: str = "text", label_col: str = "rating") -> DataFrame:
     """(label, n_chars, n); missing text has a null length."""
-    return df.groupBy(
+    return with_nan_as_null(df).groupBy(
         F.col(label_col).alias("label"), text_length(F.col(text_col)).alias("n_chars")
     ).agg(F.count(F.lit(1)).alias("n"))
 
@@ -105,7 +112,7 @@ def duplicate_profile(
     Both group-bys combine before the shuffle, so a text that fills a third of
     the table arrives as one row per task.
     """
-    pairs = df.groupBy(text_key(F.col(text_col)).alias("_key"), label_col).agg(
+    pairs = with_nan_as_null(df).groupBy(text_key(F.col(text_col)).alias("_key"), label_col).agg(
         F.count(F.lit(1)).alias("_n")
     )
     texts = pairs.groupBy("_key").agg(
@@ -127,7 +134,8 @@ def duplicate_profile(
 def label_conflicts(df: DataFrame, text_col: str = "text", label_col: str = "rating") -> DataFrame:
     """One row per text that carries several labels, with its row and label count."""
     pairs = (
-        df.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
+        with_nan_as_null(df)
+        .filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(text_key(F.col(text_col)).alias("text_key"), label_col)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -161,6 +169,7 @@ def profile_dataset(
     duplicates.
     """
     nulls = [name for name in df.columns if name not in (text_col, label_col)]
+    df = with_nan_as_null(df)
     cube = df.groupBy(
         F.col(label_col).alias("label"), text_length(F.col(text_col)).alias("n_chars")
     ).agg(

@@ -1,0 +1,5 @@
+"""Step 5 lives in ``operators.assembly``; re-exported here with the other steps."""
+
+from labelwright.operators.assembly import assemble_gold, assembly_report
+
+__all__ = ["assemble_gold", "assembly_report"]
