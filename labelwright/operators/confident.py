@@ -9,12 +9,12 @@ scalar subqueries. Flagging a row then looks only at the row itself.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelwright.operators.position import ordered_position, rank_within
-from labelwright.operators.sampling import edge_buckets
+from labelwright.operators.sampling import edge_buckets, literal_map
 
 FRAC_NOISE = 0.05
 _MARGIN_BUCKETS = 1 << 16
@@ -59,17 +59,30 @@ def class_thresholds(df: DataFrame, index_col: str = "label_index", p_col: str =
     )
 
 
-def confident_class(thresholds: DataFrame, n_classes: int, index_col: str, p_col: str) -> Column:
-    """Most probable class among those at or above their threshold, or null."""
+def with_confident_class(
+    df: DataFrame,
+    n_classes: int,
+    index_col: str = "label_index",
+    p_col: str = "p",
+    out: str = "confident",
+) -> DataFrame:
+    """Add the most probable class among those at or above their threshold.
+
+    Null where no class reaches its threshold.
+    """
+    thresholds = class_thresholds(df, index_col, p_col)
     by_class = thresholds.agg(
         F.map_from_entries(F.collect_list(F.struct(index_col, "threshold")))
     ).scalar()
-    eligible = []
-    for j in range(n_classes):
-        p = F.col(p_col)[j]
-        eligible.append(F.when(p >= F.try_element_at(by_class, F.lit(j)), p))
-    best = F.greatest(*eligible)
-    return F.coalesce(*[F.when(p == best, F.lit(j)) for j, p in enumerate(eligible)])
+    eligible = [
+        F.when(F.col(p_col)[j] >= F.try_element_at(by_class, F.lit(j)), F.col(p_col)[j])
+        for j in range(n_classes)
+    ]
+    return (
+        df.withColumn("_eligible", F.array(*eligible))
+        .withColumn(out, argmax_label(F.col("_eligible")))
+        .drop("_eligible")
+    )
 
 
 def confident_joint(
@@ -83,14 +96,10 @@ def confident_joint(
     cell that would round to zero is served first, so a class never loses all
     of its rows.
     """
-    thresholds = class_thresholds(df, index_col, p_col)
+    known = df.filter(F.col(index_col).isNotNull())
     found = (
-        df.filter(F.col(index_col).isNotNull())
-        .select(
-            F.col(index_col).alias("given"),
-            confident_class(thresholds, n_classes, index_col, p_col).alias("confident"),
-        )
-        .groupBy("given", "confident")
+        with_confident_class(known, n_classes, index_col, p_col)
+        .groupBy(F.col(index_col).alias("given"), "confident")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     sizes = found.groupBy("given").agg(F.sum("_n").alias("_size"))
@@ -155,7 +164,12 @@ def find_label_issues(
     neither joined nor shuffled. ``df`` is read several times, so pass a table.
     """
     joint = confident_joint(df, n_classes, index_col, p_col)
-    quotas = prune_quotas(joint, n_classes, frac_noise)
+    # At most one row per pair of classes.
+    quotas = {
+        row.pair: row.quota for row in prune_quotas(joint, n_classes, frac_noise).collect()
+    }
+    if not quotas:
+        return df.withColumn(out, F.lit(False))
     cuts = _margin_cuts(df, quotas, n_classes, id_col, index_col, p_col)
     given, p, row_id = F.col(index_col), F.col(p_col), F.col(id_col)
     inside = F.lit(False)
@@ -167,12 +181,19 @@ def find_label_issues(
 
 
 def _margin_cuts(
-    df: DataFrame, quotas: DataFrame, n_classes: int, id_col: str, index_col: str, p_col: str
+    df: DataFrame,
+    quotas: Mapping[int, int],
+    n_classes: int,
+    id_col: str,
+    index_col: str,
+    p_col: str,
 ) -> Column:
-    """Map pair -> (gap, id) of the last row to flag; gap = p_i - p_j."""
-    quota_of = quotas.agg(
-        F.map_from_entries(F.collect_list(F.struct("pair", "quota")))
-    ).scalar()
+    """Map pair -> (gap, id) of the last row to flag; gap = p_i - p_j.
+
+    A histogram of the gaps finds the bucket in which each quota is reached;
+    only that bucket is sorted. Equal gaps may fill it with a large part of the
+    table, so the sort is a distributed one.
+    """
     exploded = df.select(
         F.col(id_col).alias("_id"),
         F.col(index_col).alias("_i"),
@@ -183,24 +204,18 @@ def _margin_cuts(
         (F.col("_own") - F.col("_other")).alias("_gap"),
         "_id",
     )
-    candidates = exploded.filter(F.try_element_at(quota_of, F.col("_pair")).isNotNull())
+    candidates = exploded.filter(F.col("_pair").isin(list(quotas)))
     bucket = F.floor((F.col("_gap") + 1.0) * (_MARGIN_BUCKETS / 2))
     sizes = candidates.groupBy("_pair", bucket.alias("_bucket")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    edges = edge_buckets(sizes, "_pair", F.try_element_at(quota_of, F.col("_pair")))
-    edge_of = edges.agg(
-        F.map_from_entries(F.collect_list(F.struct("_pair", F.struct("_bucket", "_room", "_n"))))
-    ).scalar()
-    edge = F.try_element_at(edge_of, F.col("_pair"))
-    on_edge = candidates.withColumn("_edge", edge).filter(bucket == F.col("_edge._bucket"))
-    ranked = rank_within(
-        on_edge.select(
-            "_pair", "_gap", "_id", F.least("_edge._room", "_edge._n").alias("_last")
-        ),
-        "_pair",
-        ["_gap", "_id"],
-        "_rank",
+    quota_of = literal_map(quotas)
+    edges = edge_buckets(sizes, "_pair", F.try_element_at(quota_of, F.col("_pair"))).collect()
+    bucket_of = literal_map({row._pair: row._bucket for row in edges})
+    last_of = literal_map({row._pair: min(row._room, row._n) for row in edges})
+    on_edge = candidates.filter(bucket == F.try_element_at(bucket_of, F.col("_pair")))
+    ranked = rank_within(on_edge, "_pair", ["_gap", "_id"], "_rank").withColumn(
+        "_last", F.try_element_at(last_of, F.col("_pair"))
     )
     return (
         ranked.filter("_rank = _last")

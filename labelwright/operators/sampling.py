@@ -24,36 +24,54 @@ def stratified_sample(
     seed: str = SEED,
 ) -> DataFrame:
     """Bernoulli sample with one fraction per class; other classes are dropped."""
-    share = F.create_map(
-        *[F.lit(value) for pair in fractions.items() for value in pair]
-    )
+    share = literal_map(fractions)
     drawn = unit_interval(seeded_digest(F.col(id_col), seed))
     return df.filter(drawn < F.try_element_at(share, F.col(label_col)))
 
 
 def sample_per_class(
     df: DataFrame,
-    quota: int | Column,
+    quota: int | Mapping[float, int],
     id_col: str,
     label_col: str = "rating",
     seed: str = SEED,
 ) -> DataFrame:
     """``quota`` rows of every class, or all of a smaller class.
 
-    ``quota`` is a number, or a map column label -> number (classes missing
-    from the map give no rows). Rows without a label are dropped.
+    ``quota`` is a number, or one number per class (other classes give no
+    rows). Rows without a label are dropped. Two narrow passes run at once to
+    find the cuts; the result is a lazy filter.
     """
     cuts = class_cuts(df, quota, id_col, label_col, seed)
+    if not cuts:
+        return df.filter(F.lit(False))
+    kinds = {name: df.schema[name].dataType for name in (id_col, label_col)}
+    cut_of = F.create_map(
+        *[
+            entry
+            for label, (digest, row_id) in cuts.items()
+            for entry in (
+                F.lit(label).cast(kinds[label_col]),
+                F.struct(
+                    F.lit(digest).alias("digest"), F.lit(row_id).cast(kinds[id_col]).alias("id")
+                ),
+            )
+        ]
+    )
     key = F.struct(seeded_digest(F.col(id_col), seed).alias("digest"), F.col(id_col).alias("id"))
     return df.filter(
-        F.col(label_col).isNotNull() & (key <= F.try_element_at(cuts, F.col(label_col)))
+        F.col(label_col).isNotNull() & (key <= F.try_element_at(cut_of, F.col(label_col)))
     )
 
 
 def class_cuts(
-    df: DataFrame, quota: int | Column, id_col: str, label_col: str, seed: str
-) -> Column:
-    """Map label -> (digest, id) of the last row to keep.
+    df: DataFrame,
+    quota: int | Mapping[float, int],
+    id_col: str,
+    label_col: str,
+    seed: str,
+) -> dict:
+    """Class -> (digest, id) of the last row to keep; one entry per class.
 
     1. Count rows per (class, digest bucket): at most 65,536 rows per class.
     2. Find the bucket in which the quota is reached.
@@ -64,26 +82,33 @@ def class_cuts(
         F.col(id_col).alias("_id"),
         seeded_digest(F.col(id_col), seed).alias("_digest"),
     )
+    label = F.col("_label")
+    if isinstance(quota, Mapping):
+        if not quota:
+            return {}
+        wanted = F.coalesce(F.try_element_at(literal_map(quota), label), F.lit(0))
+    else:
+        wanted = F.lit(quota)
     bucket = digest_bucket(F.col("_digest"))
     sizes = keys.groupBy("_label", bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    edges = edge_buckets(sizes, "_label", _quota_of(quota, F.col("_label")))
-    edge_of = edges.agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("_label", F.struct("_bucket", "_room", "_n")))
-        )
-    ).scalar()
-    edge = F.try_element_at(edge_of, F.col("_label"))
-    on_edge = keys.withColumn("_edge", edge).filter(bucket == F.col("_edge._bucket"))
+    edges = edge_buckets(sizes, "_label", wanted.cast("bigint")).collect()
+    if not edges:
+        return {}
+    bucket_of = literal_map({row._label: row._bucket for row in edges})
+    last_of = literal_map({row._label: min(row._room, row._n) for row in edges})
     place = F.row_number().over(Window.partitionBy("_label").orderBy("_digest", "_id"))
     last = (
-        on_edge.withColumn("_place", place)
-        .filter(F.col("_place") == F.least("_edge._room", "_edge._n"))
-        .select(
-            "_label",
-            F.struct(F.col("_digest").alias("digest"), F.col("_id").alias("id")).alias("_cut"),
-        )
+        keys.filter(bucket == F.try_element_at(bucket_of, label))
+        .withColumn("_place", place)
+        .filter(F.col("_place") == F.try_element_at(last_of, label))
+        .collect()
     )
-    return last.agg(F.map_from_entries(F.collect_list(F.struct("_label", "_cut")))).scalar()
+    return {row._label: (row._digest, row._id) for row in last}
+
+
+def literal_map(values: Mapping) -> Column:
+    """A map column from a few driver-side values, one per class or class pair."""
+    return F.create_map(*[F.lit(entry) for pair in values.items() for entry in pair])
 
 
 def edge_buckets(sizes: DataFrame, group_col: str, quota: Column) -> DataFrame:
@@ -105,12 +130,6 @@ def edge_buckets(sizes: DataFrame, group_col: str, quota: Column) -> DataFrame:
     )
 
 
-def _quota_of(quota: int | Column, label: Column) -> Column:
-    if isinstance(quota, Column):
-        return F.coalesce(F.try_element_at(quota, label), F.lit(0)).cast("bigint")
-    return F.lit(quota).cast("bigint")
-
-
 def cap_per_class(
     df: DataFrame, cap: int, id_col: str, label_col: str = "rating", seed: str = SEED
 ) -> DataFrame:
@@ -125,9 +144,7 @@ def matched_stratified(
     seed: str = SEED,
 ) -> DataFrame:
     """Draw from ``pool`` as many rows of each class as ``target`` has."""
-    wanted = class_counts(target, label_col).agg(
-        F.map_from_entries(F.collect_list(F.struct(label_col, "n")))
-    ).scalar()
+    wanted = {row[label_col]: row["n"] for row in class_counts(target, label_col).collect()}
     return sample_per_class(pool, wanted, id_col, label_col, seed)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from labelwright import DOMAIN, SEED
 from labelwright.models.classifier import evaluate
-from labelwright.operators.dedup import dedup_text
+from labelwright.operators.dedup import dedup_text, dedup_text_label
 from labelwright.operators.joins import remove_leakage
 from labelwright.operators.metrics import effect_decomposition
 from labelwright.operators.position import shuffle_rows
