@@ -122,9 +122,7 @@ def _(spark, sf_dir):
 
 @query("confident_joint", f"WITH {JOINT} SELECT given, confident, n, calibrated FROM joint")
 def _(spark, sf_dir):
-    return confident.confident_joint(spool(probs(spark, sf_dir)), len(CLASSES)).withColumn(
-        "calibrated", F.col("calibrated").cast("bigint")
-    )
+    return confident.confident_joint(spool(probs(spark, sf_dir)), len(CLASSES))
 
 
 @query("find_label_issues", f"WITH {sql_issues(1.0)} SELECT doc_id, is_label_issue FROM scored")
@@ -359,3 +357,12 @@ def _(spark, sf_dir):
         log = ask_model(rows, obliging, path, "doc_id", callers=8, wait_seconds=0.0,
                         batches_per_commit=max(n_batches // 2, 1))
     return curate(rows, reviews(spark, sf_dir), log, "doc_id").corrected.select("doc_id", "rating", "source")
+
+
+@query("find_label_issues_sorted", f"WITH {sql_issues(1.0)} SELECT doc_id, is_label_issue FROM scored")
+def _(spark, sf_dir):
+    """The same with the edge buckets over the window bound: the distributed sort."""
+    rows = spool(probs(spark, sf_dir).select("doc_id", "label_index", "p"))
+    return confident.find_label_issues(
+        rows, len(CLASSES), "doc_id", frac_noise=1.0, window_rows=0
+    ).select("doc_id", "is_label_issue")

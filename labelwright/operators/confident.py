@@ -3,12 +3,14 @@
 pruning by noise rate.
 
 Input: one row per document with its class index (0..K-1) and an array of K
-probabilities. Statistics are tables of K or K*K rows and reach the rows as
-scalar subqueries. Flagging a row then looks only at the row itself.
+probabilities. Spark reduces the rows to statistics of K or K*K numbers; these
+go back into the row expressions as literals. Flagging a row then looks only at
+the row itself.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,6 +19,7 @@ from labelwright.operators.position import ordered_position, rank_within
 from labelwright.operators.sampling import edge_buckets, literal_map
 
 FRAC_NOISE = 0.05
+WINDOW_ROWS = 1_000_000
 _MARGIN_BUCKETS = 1 << 16
 
 
@@ -61,8 +64,7 @@ def class_thresholds(df: DataFrame, index_col: str = "label_index", p_col: str =
 
 def with_confident_class(
     df: DataFrame,
-    n_classes: int,
-    index_col: str = "label_index",
+    thresholds: Mapping[int, float],
     p_col: str = "p",
     out: str = "confident",
 ) -> DataFrame:
@@ -70,80 +72,90 @@ def with_confident_class(
 
     Null where no class reaches its threshold.
     """
-    thresholds = class_thresholds(df, index_col, p_col)
-    by_class = thresholds.agg(
-        F.map_from_entries(F.collect_list(F.struct(index_col, "threshold")))
-    ).scalar()
     eligible = [
-        F.when(F.col(p_col)[j] >= F.try_element_at(by_class, F.lit(j)), F.col(p_col)[j])
-        for j in range(n_classes)
+        F.when(F.col(p_col)[j] >= F.lit(threshold), F.col(p_col)[j])
+        for j, threshold in sorted(thresholds.items())
     ]
+    classes = F.array(*[F.lit(j) for j in sorted(thresholds)])
     return (
         df.withColumn("_eligible", F.array(*eligible))
-        .withColumn(out, argmax_label(F.col("_eligible")))
+        .withColumn(out, F.try_element_at(classes, argmax_label(F.col("_eligible")) + 1))
         .drop("_eligible")
     )
 
 
-def confident_joint(
+def joint_cells(
     df: DataFrame, n_classes: int, index_col: str = "label_index", p_col: str = "p"
-) -> DataFrame:
+) -> list[tuple[int, int, int, int]]:
     """(given, confident, n, calibrated) for all K*K cells.
 
-    n: rows with this given label and confident class. calibrated: n, with a
-    diagonal of at least one, scaled so that each given class sums to its size
-    and rounded by largest remainder, in exact integer arithmetic. A diagonal
-    cell that would round to zero is served first, so a class never loses all
-    of its rows.
+    n: rows with this given label and confident class; see ``calibrate`` for the
+    calibrated count. Spark averages and counts the rows; K thresholds and
+    K*(K+1) counts come to the driver.
     """
     known = df.filter(F.col(index_col).isNotNull())
+    thresholds = {
+        row[index_col]: row.threshold for row in class_thresholds(df, index_col, p_col).collect()
+    }
+    if not thresholds:
+        return []
     found = (
-        with_confident_class(known, n_classes, index_col, p_col)
+        with_confident_class(known, thresholds, p_col)
         .groupBy(F.col(index_col).alias("given"), "confident")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    sizes = found.groupBy("given").agg(F.sum("_n").alias("_size"))
-    grid = df.sparkSession.range(n_classes * n_classes, numPartitions=1).select(
-        F.floor(F.col("id") / n_classes).cast("int").alias("given"),
-        (F.col("id") % n_classes).cast("int").alias("confident"),
-    )
-    diagonal = F.col("given") == F.col("confident")
-    row = Window.partitionBy("given")
-    wide = "decimal(38,0)"
-    cells = (
-        grid.join(F.broadcast(found), ["given", "confident"], "left")
-        .join(F.broadcast(sizes), "given", "left")
-        .withColumn("n", F.coalesce("_n", F.lit(0)))
-        .withColumn("_size", F.coalesce("_size", F.lit(0)))
-        .withColumn("_c", F.when(diagonal, F.greatest("n", F.lit(1))).otherwise(F.col("n")))
-        .withColumn("_total", F.sum("_c").over(row))
-        .withColumn("_scaled", F.col("_c").cast(wide) * F.col("_size"))
-        .withColumn("_floor", F.expr("_scaled div _total"))
-        .withColumn("_left", (F.col("_scaled") % F.col("_total")).cast("bigint"))
-        .withColumn("_missing", F.col("_size") - F.sum("_floor").over(row))
-        .withColumn("_first", diagonal & (F.col("_floor") == 0) & (F.col("_left") > 0))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()
     )
-    turn = F.row_number().over(row.orderBy(F.desc("_first"), F.desc("_left"), "confident"))
-    return cells.withColumn("_turn", turn).select(
-        "given",
-        "confident",
-        "n",
-        (F.col("_floor") + F.when(F.col("_turn") <= F.col("_missing"), 1).otherwise(0)).alias(
-            "calibrated"
-        ),
+    counts = [[0] * n_classes for _ in range(n_classes)]
+    sizes = [0] * n_classes
+    for row in found:
+        sizes[row.given] += row.n
+        if row.confident is not None:
+            counts[row.given][row.confident] += row.n
+    calibrated = [calibrate(counts[i], i, sizes[i]) for i in range(n_classes)]
+    classes = range(n_classes)
+    return [(i, j, counts[i][j], calibrated[i][j]) for i in classes for j in classes]
+
+
+def confident_joint(
+    df: DataFrame, n_classes: int, index_col: str = "label_index", p_col: str = "p"
+) -> DataFrame:
+    """``joint_cells`` as a table."""
+    return df.sparkSession.createDataFrame(
+        joint_cells(df, n_classes, index_col, p_col),
+        "given int, confident int, n bigint, calibrated bigint",
     )
 
 
-def prune_quotas(joint: DataFrame, n_classes: int, frac_noise: float = FRAC_NOISE) -> DataFrame:
-    """(pair, quota): rows to prune for each off-diagonal cell, where any."""
-    return (
-        joint.filter("given <> confident")
-        .select(
-            (F.col("given") * n_classes + F.col("confident")).alias("pair"),
-            F.floor(F.lit(frac_noise) * F.col("calibrated")).alias("quota"),
-        )
-        .filter("quota > 0")
+def calibrate(counts: Sequence[int], own: int, size: int) -> list[int]:
+    """Scale one class's counts so that they sum to its size, in whole numbers.
+
+    The own cell counts as at least one. Fractions are rounded by largest
+    remainder, lower classes first on ties; an own cell that would round to
+    zero is served first, so a class never loses all of its rows.
+    """
+    raised = [max(n, 1) if j == own else n for j, n in enumerate(counts)]
+    total = sum(raised)
+    shares = [divmod(n * size, total) for n in raised]
+    result = [whole for whole, _ in shares]
+    turn = sorted(
+        range(len(counts)),
+        key=lambda j: (not (j == own and result[j] == 0 and shares[j][1]), -shares[j][1], j),
     )
+    for j in turn[: size - sum(result)]:
+        result[j] += 1
+    return result
+
+
+def prune_quotas(
+    cells: Sequence[tuple[int, int, int, int]], n_classes: int, frac_noise: float = FRAC_NOISE
+) -> dict[int, int]:
+    """Pair (given * K + other) -> rows to prune, where there are any."""
+    quotas = {
+        given * n_classes + other: math.floor(frac_noise * calibrated)
+        for given, other, _, calibrated in cells
+        if given != other
+    }
+    return {pair: quota for pair, quota in quotas.items() if quota > 0}
 
 
 def find_label_issues(
@@ -154,6 +166,7 @@ def find_label_issues(
     p_col: str = "p",
     frac_noise: float = FRAC_NOISE,
     out: str = "is_label_issue",
+    window_rows: int = WINDOW_ROWS,
 ) -> DataFrame:
     """Add the issue flag to ``df``.
 
@@ -161,38 +174,39 @@ def find_label_issues(
     largest margin p_j - p_i is flagged, ties in id order, unless i is the most
     probable class. As in sampling, the last row inside each quota is found
     from narrow keys and every row is compared with that cut: the documents are
-    neither joined nor shuffled. ``df`` is read several times, so pass a table.
+    neither joined nor shuffled. ``df`` is read four times, so pass a table.
     """
-    joint = confident_joint(df, n_classes, index_col, p_col)
-    # At most one row per pair of classes.
-    quotas = {
-        row.pair: row.quota for row in prune_quotas(joint, n_classes, frac_noise).collect()
-    }
+    cells = joint_cells(df, n_classes, index_col, p_col)
+    quotas = prune_quotas(cells, n_classes, frac_noise)
     if not quotas:
         return df.withColumn(out, F.lit(False))
-    cuts = _margin_cuts(df, quotas, n_classes, id_col, index_col, p_col)
+    cuts = margin_cuts(df, quotas, n_classes, id_col, index_col, p_col, window_rows)
     given, p, row_id = F.col(index_col), F.col(p_col), F.col(id_col)
+    id_type = df.schema[id_col].dataType
     inside = F.lit(False)
-    for j in range(n_classes):
-        key = F.struct((F.try_element_at(p, given + 1) - p[j]).alias("_gap"), row_id.alias("_id"))
-        cut = F.try_element_at(cuts, given * n_classes + j)
-        inside = inside | F.coalesce((given != j) & (key <= cut), F.lit(False))
-    return df.withColumn(out, inside & (argmax_label(p) != given))
+    for pair, (gap, last_id) in cuts.items():
+        i, j = divmod(pair, n_classes)
+        key = F.struct((p[i] - p[j]).alias("gap"), row_id.alias("id"))
+        cut = F.struct(F.lit(gap).alias("gap"), F.lit(last_id).cast(id_type).alias("id"))
+        inside = inside | ((given == i) & (key <= cut))
+    return df.withColumn(out, F.coalesce(inside & (argmax_label(p) != given), F.lit(False)))
 
 
-def _margin_cuts(
+def margin_cuts(
     df: DataFrame,
     quotas: Mapping[int, int],
     n_classes: int,
     id_col: str,
-    index_col: str,
-    p_col: str,
-) -> Column:
-    """Map pair -> (gap, id) of the last row to flag; gap = p_i - p_j.
+    index_col: str = "label_index",
+    p_col: str = "p",
+    window_rows: int = WINDOW_ROWS,
+) -> dict:
+    """Pair -> (gap, id) of the last row to flag; gap = p_i - p_j.
 
     A histogram of the gaps finds the bucket in which each quota is reached;
-    only that bucket is sorted. Equal gaps may fill it with a large part of the
-    table, so the sort is a distributed one.
+    only those buckets are ranked. Equal gaps may put a large part of the table
+    into one of them: above ``window_rows`` rows, which the histogram tells, the
+    ranks come from a distributed sort instead of a window.
     """
     exploded = df.select(
         F.col(id_col).alias("_id"),
@@ -204,28 +218,25 @@ def _margin_cuts(
         (F.col("_own") - F.col("_other")).alias("_gap"),
         "_id",
     )
-    candidates = exploded.filter(F.col("_pair").isin(list(quotas)))
+    pair = F.col("_pair")
+    candidates = exploded.filter(pair.isin(list(quotas)))
     bucket = F.floor((F.col("_gap") + 1.0) * (_MARGIN_BUCKETS / 2))
     sizes = candidates.groupBy("_pair", bucket.alias("_bucket")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    quota_of = literal_map(quotas)
-    edges = edge_buckets(sizes, "_pair", F.try_element_at(quota_of, F.col("_pair"))).collect()
+    edges = edge_buckets(sizes, "_pair", F.try_element_at(literal_map(quotas), pair)).collect()
+    if not edges:
+        return {}
     bucket_of = literal_map({row._pair: row._bucket for row in edges})
     last_of = literal_map({row._pair: min(row._room, row._n) for row in edges})
-    on_edge = candidates.filter(bucket == F.try_element_at(bucket_of, F.col("_pair")))
-    ranked = rank_within(on_edge, "_pair", ["_gap", "_id"], "_rank").withColumn(
-        "_last", F.try_element_at(last_of, F.col("_pair"))
-    )
-    return (
-        ranked.filter("_rank = _last")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.struct("_pair", F.struct("_gap", "_id")))
-            )
-        )
-        .scalar()
-    )
+    on_edge = candidates.filter(bucket == F.try_element_at(bucket_of, pair))
+    if max(row._n for row in edges) <= window_rows:
+        window = Window.partitionBy("_pair").orderBy("_gap", "_id")
+        ranked = on_edge.withColumn("_rank", F.row_number().over(window))
+    else:
+        ranked = rank_within(on_edge, "_pair", ["_gap", "_id"], "_rank")
+    last = ranked.filter(F.col("_rank") == F.try_element_at(last_of, pair)).collect()
+    return {row._pair: (row._gap, row._id) for row in last}
 
 
 def rank_issues(flagged: DataFrame, id_col: str, score_col: str = "label_quality_score") -> DataFrame:
