@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from labelwright import DOMAIN, SEED
-from labelwright.models.stages import WORKING_COLUMNS, TfidfVectorizer
+from labelwright.models.stages import (
+    WORKING_COLUMNS,
+    TfidfVectorizer,
+    gather_for_fit,
+    spread_small,
+)
 from labelwright.operators.confident import label_encode
 from labelwright.operators.features import MAX_FEATURES, MIN_DOCS
 from labelwright.operators.position import seeded_position
@@ -68,10 +75,18 @@ def oof_probabilities(
     features by fold, and nothing later repeats a fit.
     """
     vectorizer = TfidfVectorizer(id_col, text_col, 1, max_features, min_docs)
-    labelled = df.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
+    placed = spool(
+        assign_folds(
+            df.filter(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()),
+            id_col, label_col, folds, seed,
+        ),
+        "folds",
+    )
+    n_rows = placed.count()
+    labelled = spread_small(placed, id_col, n_rows)
     features = spool(
         vectorizer.fit(labelled)
-        .transform(assign_folds(labelled, id_col, label_col, folds, seed))
+        .transform(labelled)
         .withColumn("label_index", label_encode(classes, F.col(label_col)))
         .filter(F.col("label_index").isNotNull())
         .drop(*WORKING_COLUMNS),
@@ -83,9 +98,11 @@ def oof_probabilities(
         metadata={"ml_attr": {"type": "nominal", "vals": [str(value) for value in classes]}},
     )
     sizes = {row.fold: row.n for row in features.groupBy("fold").agg(F.count("*").alias("n")).collect()}
-    scored = []
-    for fold in sorted(sizes):
-        train = features.filter(F.col("fold") != fold).select("features", named)
+
+    def score(fold: int) -> DataFrame:
+        train = gather_for_fit(
+            features.filter(F.col("fold") != fold).select("features", named), n_rows
+        )
         n_train = sum(n for other, n in sizes.items() if other != fold)
         model = LogisticRegression(
             labelCol="_target",
@@ -95,9 +112,11 @@ def oof_probabilities(
             standardization=False,
             maxIter=max_iter,
         ).fit(train)
-        scored.append(
-            model.transform(features.filter(F.col("fold") == fold)).select(
-                *df.columns, "fold", "label_index", vector_to_array("probability").alias("p")
-            )
+        return model.transform(features.filter(F.col("fold") == fold)).select(
+            *df.columns, "fold", "label_index", vector_to_array("probability").alias("p")
         )
+
+    # The fits are independent: their jobs share the cluster.
+    with ThreadPool(max(len(sizes), 1)) as pool:
+        scored = pool.map(inheritable_thread_target(df.sparkSession)(score), sorted(sizes))
     return spool(reduce(DataFrame.unionByName, scored), "out_of_fold")

@@ -113,4 +113,23 @@ class TfidfVectorizer(Estimator):
         )
 
 
+SMALL_TABLE_ROWS = 1_000_000
+FIT_PARTITION_ROWS = 20_000
+
+
+def spread_small(df: DataFrame, id_col: str, n_rows: int) -> DataFrame:
+    """Put a small table on all cores before its texts are vectorised.
+
+    It may come in one file. A large table has enough splits and is not shuffled.
+    """
+    if n_rows > SMALL_TABLE_ROWS:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, id_col)
+
+
+def gather_for_fit(features: DataFrame, n_rows: int) -> DataFrame:
+    """Read stored features in partitions worth a task of an iterative fit."""
+    return features.coalesce(max(1, -(-n_rows // FIT_PARTITION_ROWS)))
+
+
 WORKING_COLUMNS = ("terms", "counts", "damped", "weighted")

@@ -23,8 +23,11 @@ def term_counts(df: DataFrame, id_col: str, text_col: str = "text", n_max: int =
         .withColumn("_tokens", tokenize(F.col(text_col)))
         .drop(text_col)
     )
+    # explode would also put a filter on the token count below the shuffle, which
+    # tokenises every text a second time; explode_outer does not.
     return (
-        tokens.select(id_col, F.explode(ngrams(F.col("_tokens"), n_max)).alias("term"))
+        tokens.select(id_col, F.explode_outer(ngrams(F.col("_tokens"), n_max)).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy(id_col, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from labelwright import DOMAIN, SEED
@@ -96,17 +98,20 @@ def compare_variants(
 ) -> DataFrame:
     """One result row per variant; the model of the last one is saved.
 
-    The loop is over four variants; each fit runs on the cluster.
+    The variants are trained side by side, each fit on the whole cluster.
     """
     shared_test = spool(test, "test_set")
-    rows = []
-    for name, train in variants.items():
-        last = name == list(variants)[-1]
+    last = list(variants)[-1]
+
+    def result(name: str) -> DataFrame:
         row, _ = evaluate(
-            name, train, shared_test, id_col, text_col, label_col, classes,
-            model_path if last else None, **training,
+            name, variants[name], shared_test, id_col, text_col, label_col, classes,
+            model_path if name == last else None, **training,
         )
-        rows.append(row)
+        return row
+
+    with ThreadPool(len(variants)) as pool:
+        rows = pool.map(inheritable_thread_target(test.sparkSession)(result), list(variants))
     return spool(reduce(DataFrame.unionByName, rows), "comparison")
 
 

@@ -14,6 +14,7 @@ from labelwright.functions.text import strip_text, text_length
 from labelwright.operators.dedup import dedup_text
 from labelwright.operators.filters import funnel_rows, keep_valid_labels, min_length
 from labelwright.operators.sampling import sample_n
+from labelwright.session import spool
 
 SAMPLE_SIZE = 3000
 FUNNEL = ("raw", "not_missing", "text_long_enough", "unique_text", "label_valid", "sampled")
@@ -41,7 +42,9 @@ def prepare_ood(
 ) -> DataFrame:
     """(id, text, rating): ``n`` rows that pass every check, or all of them."""
     _, unique = _steps(hotels, id_col, ratings_col)
-    return sample_n(keep_valid_labels(unique, "rating", domain, overwrite=True), n, id_col, seed)
+    # Written once, because the sample reads it three times.
+    valid = spool(keep_valid_labels(unique, "rating", domain, overwrite=True), "ood")
+    return sample_n(valid, n, id_col, seed)
 
 
 def ood_funnel(
