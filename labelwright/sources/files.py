@@ -11,7 +11,7 @@ from labelwright.contracts import RAW_REVIEW
 
 # Review texts hold quotes and line breaks.
 CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"'}
-# Keep what the text is: blanks at the ends, and "" apart from null.
+# Blanks at the ends belong to the text. An empty text is read as missing.
 CSV_READ = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 CSV_WRITE = {
     "header": True,
@@ -19,7 +19,6 @@ CSV_WRITE = {
     "escape": '"',
     "ignoreLeadingWhiteSpace": False,
     "ignoreTrailingWhiteSpace": False,
-    "emptyValue": '""',
 }
 
 
