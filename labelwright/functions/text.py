@@ -34,8 +34,8 @@ def truncate_text(text: Column, n_chars: int) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    """SHA-256 of the text: 64 characters stand in for it as a shuffle key."""
-    return F.sha2(text, 256)
+    """SHA-256 of the text: 32 bytes stand in for it as a shuffle key."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def tokenize(text: Column) -> Column:

@@ -7,22 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from labelwright.contracts import METADATA_COLUMNS, present_columns
+from labelwright.functions.hashing import seeded_digest, unit_interval
 from labelwright.functions.text import text_key
 from labelwright.operators.dedup import dedup_text
 
-HOT_SHARE = 0.001
+HOT_SHARE = 1e-5
+SAMPLE_RATE = 1 / 64
+MIN_HITS = 20
 BROADCAST_ROWS = 200_000
 
 
-def hot_keys(df: DataFrame, key_col: str, share: float = HOT_SHARE) -> DataFrame:
-    """Every key that may hold more than ``share`` of the rows.
+def hot_keys(
+    df: DataFrame,
+    key_col: str,
+    id_col: str,
+    share: float = HOT_SHARE,
+    rate: float = SAMPLE_RATE,
+    min_hits: int = MIN_HITS,
+) -> DataFrame:
+    """(key, _salts) of keys that hold more than ``share`` of the rows.
 
-    ``freqItems`` misses none of them and returns at most ``1 / share`` keys,
-    so the result is small by construction. It takes one pass and no shuffle of
-    the rows. A key that is listed without being hot only costs a few copies.
+    Keys are counted on a sample drawn by id. ``_salts`` is the number of parts
+    in which no part exceeds ``share``. At most ``1 / share`` keys can qualify and
+    their parts add up to at most ``2 / share``, so the table is small by
+    construction. The sample decides how rows are spread, never which rows match.
     """
-    found = df.filter(F.col(key_col).isNotNull()).select(key_col).stat.freqItems([key_col], share)
-    return found.select(F.explode(f"{key_col}_freqItems").alias(key_col))
+    drawn = unit_interval(seeded_digest(F.col(id_col), "hot")) < rate
+    counted = (
+        df.filter(drawn & F.col(key_col).isNotNull())
+        .groupBy(key_col)
+        .agg(F.count(F.lit(1)).alias("_hits"))
+    )
+    part = counted.agg(F.sum("_hits")).scalar() * F.lit(share)
+    return counted.filter((F.col("_hits") >= min_hits) & (F.col("_hits") > part)).select(
+        key_col, F.ceil(F.col("_hits") / part).alias("_salts")
+    )
 
 
 def salted_join(
@@ -32,33 +51,34 @@ def salted_join(
     id_col: str,
     how: str,
     share: float = HOT_SHARE,
-    salts: int | None = None,
+    rate: float = SAMPLE_RATE,
+    min_hits: int = MIN_HITS,
 ) -> DataFrame:
     """``left`` or ``left_anti`` equi-join that spreads hot and null keys.
 
-    Left rows of a hot key get one of ``salts`` numbers; the right rows of that
-    key, and only those, are repeated once per number.
+    Left rows of a hot key are split into its parts by id; the right rows of
+    that key, and only those, are repeated once per part.
     """
     if how not in ("left", "left_anti"):
         raise ValueError("how must be 'left' or 'left_anti'")
-    salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = F.broadcast(hot_keys(left, key_col, share).withColumn("_hot", F.lit(True)))
-    spread = F.col("_hot").isNotNull() | F.col(key_col).isNull()
+    hot = F.broadcast(hot_keys(left, key_col, id_col, share, rate, min_hits))
+    parts = F.when(F.col(key_col).isNull(), F.lit(int(1 / share))).otherwise(
+        F.coalesce("_salts", F.lit(1))
+    )
     salted_left = (
         left.join(hot, key_col, "left")
-        .withColumn(
-            "_salt",
-            F.when(spread, F.pmod(F.xxhash64(id_col), F.lit(salts))).otherwise(F.lit(0)),
-        )
-        .drop("_hot")
+        .withColumn("_salt", F.pmod(F.xxhash64(id_col), parts))
+        .drop("_salts")
     )
-    numbers = F.when(
-        F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    ).otherwise(F.array(F.lit(0).cast("bigint")))
     salted_right = (
         right.join(hot, key_col, "left")
-        .withColumn("_salt", F.explode(numbers))
-        .drop("_hot")
+        .withColumn(
+            "_salt",
+            F.explode(
+                F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)) - 1)
+            ),
+        )
+        .drop("_salts")
     )
     return salted_left.join(salted_right, [key_col, "_salt"], how).drop("_salt")
 
@@ -98,7 +118,7 @@ def remove_leakage(
 ) -> DataFrame:
     """Drop training rows whose text is in the test set; null texts stay.
 
-    Up to ``broadcast_rows`` test texts travel as 64-character digests to every
+    Up to ``broadcast_rows`` test texts travel as 32-byte digests to every
     task, so the training rows are not shuffled. The test set is counted first;
     a larger one takes the salted join.
     """

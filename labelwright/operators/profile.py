@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
 from labelwright.functions.numeric import nan_as_null, percent
 from labelwright.functions.text import text_key, text_length
+from labelwright.session import spool
 
 
 def with_nan_as_null(df: DataFrame) -> DataFrame:
@@ -57,9 +58,13 @@ def class_counts(df: DataFrame, label_col: str = "rating") -> DataFrame:
 def class_distribution(df: DataFrame, label_col: str = "rating") -> DataFrame:
     """Count and percentage per class; the percentage is of all rows."""
     counts = with_nan_as_null(df).groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.filter(F.col(label_col).isNotNull()).select(
-        label_col, "n", percent(F.col("n"), total).alias("pct")
+    # A window over the few class rows. With a subquery the null filter would be
+    # pushed into one of two scans.
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
+    return (
+        counts.withColumn("pct", percent(F.col("n"), total))
+        .filter(F.col(label_col).isNotNull())
+        .select(label_col, "n", "pct")
     )
 
 
@@ -143,6 +148,7 @@ def label_conflicts(df: DataFrame, text_col: str = "text", label_col: str = "rat
         pairs.groupBy("text_key")
         .agg(F.sum("_n").alias("n_rows"), F.count(F.lit(1)).alias("n_labels"))
         .filter("n_labels > 1")
+        .withColumn("text_key", F.lower(F.hex("text_key")))
     )
 
 
@@ -166,15 +172,19 @@ def profile_dataset(
     """Every profile figure as (metric, key, value): two scans of ``df``.
 
     The first scan feeds the cube and the null counts, the second the
-    duplicates.
+    duplicates. The cube is small and written out, so that the parts below
+    share it instead of each scanning ``df`` with its own filter.
     """
     nulls = [name for name in df.columns if name not in (text_col, label_col)]
     df = with_nan_as_null(df)
-    cube = df.groupBy(
-        F.col(label_col).alias("label"), text_length(F.col(text_col)).alias("n_chars")
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(name).isNull()).alias(f"_null_{i}") for i, name in enumerate(nulls)],
+    cube = spool(
+        df.groupBy(
+            F.col(label_col).alias("label"), text_length(F.col(text_col)).alias("n_chars")
+        ).agg(
+            F.count(F.lit(1)).alias("n"),
+            *[F.count_if(F.col(name).isNull()).alias(f"_null_{i}") for i, name in enumerate(nulls)],
+        ),
+        "cube",
     )
     n = F.coalesce(F.sum("n"), F.lit(0))
     missing = {

@@ -63,8 +63,12 @@ def build_variants(
     label_col: str = "rating",
     seed: str = SEED,
 ) -> dict[str, DataFrame]:
-    """The four training sets, none of which holds a text of the test set."""
+    """The four training sets, none of which holds a text of the test set.
+
+    Pass stored tables: the matched draw reads its pool three times.
+    """
     columns = [id_col, text_col, label_col]
+    test = spool(test, "test_set")
     with_duplicates, full, corrected = (
         remove_leakage(frame.select(*columns), test, id_col, text_col)
         for frame in (raw, sanitized, gold)

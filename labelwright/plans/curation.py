@@ -83,7 +83,7 @@ def curate(
     ``log`` holds all runs, whose request numbers may repeat; rows are matched
     by (request, row), which stays unique because no row is asked twice.
     """
-    parsed = parse_responses(log)
+    parsed = spool(parse_responses(log), "parsed")
     records = sanitize_records(parsed, domain)
     outcomes = batch_outcomes(parsed, records)
     corrected = apply_outcomes(flagged, outcomes, id_col, label_col)

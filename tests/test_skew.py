@@ -1,6 +1,7 @@
 """A third of the rows in one group, and plans that survive it."""
 
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,8 +32,16 @@ def rows(spark):
 
 def test_hot_keys_are_found_and_few(rows):
     df, _ = rows
-    found = {r.text for r in joins.hot_keys(df, "text", share=0.01).collect()}
-    assert "hot" in found and len(found) <= 100
+    found = {r.text: r._salts for r in joins.hot_keys(df, "text", "id", 0.01, 1.0).collect()}
+    share = 1000 / df.filter("text is not null").count()
+    assert found == {"hot": math.ceil(share / 0.01)}
+
+
+def test_hot_keys_from_a_sample(rows):
+    df, _ = rows
+    (found,) = joins.hot_keys(df, "text", "id", 0.01, 0.25).collect()
+    assert found.text == "hot" and 25 <= found._salts <= 45
+    assert joins.hot_keys(df, "text", "id", 0.01, 0.0).count() == 0
 
 
 @pytest.mark.parametrize("how", ["left", "left_anti"])
@@ -41,7 +50,7 @@ def test_salted_join_equals_plain_join(spark, rows, how):
     right = df.filter("text is not null").select("text").distinct().filter(
         F.col("text").isin("hot", "text 5", "text 10", "text 77")
     ).withColumn("extra", F.length("text"))
-    salted = joins.salted_join(df, right, "text", "id", how, share=0.01, salts=4)
+    salted = joins.salted_join(df, right, "text", "id", how, share=0.01, rate=1.0)
     plain = df.join(right, "text", how)
     columns = plain.columns
     assert sorted(salted.select(*columns).collect(), key=str) == sorted(plain.collect(), key=str)
@@ -50,11 +59,18 @@ def test_salted_join_equals_plain_join(spark, rows, how):
 def test_hot_left_rows_go_to_many_partitions(rows):
     df, _ = rows
     right = df.filter("text = 'hot'").select("text").distinct().withColumn("extra", F.lit(1))
-    joined = joins.salted_join(df, right, "text", "id", "left", share=0.01, salts=8)
-    joined = joined.sparkSession.createDataFrame(joined.rdd.glom().map(
-        lambda part: (sum(1 for r in part if r.text == "hot"),)), "n bigint")
-    most = joined.agg(F.max("n")).first()[0]
-    assert most < N / 3
+    joined = joins.salted_join(df, right, "text", "id", "left", share=0.01, rate=1.0)
+    shuffled = joined.hint("merge").withColumn("part", F.spark_partition_id())
+    spark = df.sparkSession
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r["count"] for r in shuffled.filter("text = 'hot'").groupBy("part").count().collect()]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(sizes) == N / 3 and len(sizes) == 8 and max(sizes) < N / 3 / 2
 
 
 def test_dedup_prunes_before_the_shuffle(rows, physical_plan):
