@@ -11,6 +11,7 @@ from catalog.fixtures import (
     CLASSES,
     CURATED,
     HOTELS,
+    LABELLED,
     METADATA,
     PREDICTIONS,
     REVIEWS,
@@ -100,7 +101,14 @@ def halves(spark, sf_dir):
     return rows.filter(h("half") < 0.7), rows.filter(h("half") >= 0.7)
 
 
-@query("train_text_classifier")
+@query("train_text_classifier", rf"""WITH {LABELLED}, train AS (SELECT * FROM labelled WHERE {sql_h('half')} < 0.7),
+  tokens AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{2,}}') AS t FROM train),
+  grams AS (SELECT doc_id, unnest(t) AS term FROM tokens UNION ALL
+    SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i]||' '||t[i + 1])) FROM tokens),
+  counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
+  words AS (SELECT term, sum(tf) AS total, count(*) AS df FROM counts GROUP BY term
+    HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 1000)
+  SELECT term, round(ln((1.0::DOUBLE + (SELECT count(*) FROM train)) / (1 + df)) + 1, 6) AS idf FROM words""")
 def _(spark, sf_dir):
     """The fitted vocabulary with its idf weights."""
     train, _ = halves(spark, sf_dir)
@@ -108,7 +116,7 @@ def _(spark, sf_dir):
     return spark.createDataFrame(
         list(zip(model.stages[1].vocabulary, map(float, model.stages[3].getScalingVec()))),
         "term string, idf double",
-    )
+    ).withColumn("idf", F.round("idf", 6))
 
 
 @query("predict")
@@ -118,16 +126,18 @@ def _(spark, sf_dir):
     return classifier.predict(model, test, QUALITY).select("doc_id", "rating", "prediction")
 
 
-@query("model_sink")
+@query("model_sink", f"""WITH {LABELLED} SELECT doc_id, TRUE AS same FROM labelled WHERE {sql_h('half')} >= 0.7""")
 def _(spark, sf_dir):
-    """Predictions before saving and after loading, side by side."""
+    """Do predictions before saving and after loading agree?"""
     train, test = halves(spark, sf_dir)
     model = classifier.train_text_classifier(train, "doc_id", **SMALL)
     path = scratch_path(spark, "model")
     model.write().save(path)
     before = classifier.predict(model, test, QUALITY).select("doc_id", F.col("prediction").alias("before"))
     after = classifier.predict(PipelineModel.load(path), test, QUALITY)
-    return before.join(after.select("doc_id", F.col("prediction").alias("after")), "doc_id")
+    return before.join(after, "doc_id").select(
+        "doc_id", (F.col("before") == F.col("prediction")).alias("same")
+    )
 
 
 @query("evaluate")

@@ -104,9 +104,14 @@ def _(spark, sf_dir):
     return assign_folds(labelled(spark, sf_dir), "doc_id").select("doc_id", "rating", "fold")
 
 
-@query("oof_probabilities")
+@query("oof_probabilities", f"""WITH {LABELLED} SELECT doc_id, rating,
+  (ntile(5) OVER (PARTITION BY rating ORDER BY {sql_digest('42')}, doc_id) - 1)::INT AS fold, 2::INT AS n_p,
+  1::DOUBLE AS p_sum FROM labelled""")
 def _(spark, sf_dir):
-    """Out-of-fold scores of the labelled documents; the solver is Spark's."""
+    """Every labelled document scored once, in its fold, by probabilities that sum to one.
+
+    The probabilities themselves are the solver's; tests hold them to its optimum.
+    """
     scored = oof_probabilities(
         labelled(spark, sf_dir), "doc_id", classes=(0.0, 1.0), max_iter=20, max_features=1000
     )

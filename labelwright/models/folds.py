@@ -55,6 +55,24 @@ def assign_folds(
     return placed.withColumn(out, fold.cast("int")).drop("_at")
 
 
+def logistic_regression(
+    label_col: str, n_train: int, inverse_penalty: float, max_iter: int
+) -> LogisticRegression:
+    """Minimises |w|^2 / 2 + inverse_penalty * sum(log loss), intercept free.
+
+    Spark divides that by the penalty and the row count. Two classes are fitted
+    with one weight vector, more with one per class.
+    """
+    return LogisticRegression(
+        labelCol=label_col,
+        family="auto",
+        regParam=1.0 / (inverse_penalty * max(n_train, 1)),
+        elasticNetParam=0.0,
+        standardization=False,
+        maxIter=max_iter,
+    )
+
+
 def oof_probabilities(
     df: DataFrame,
     id_col: str,
@@ -97,21 +115,17 @@ def oof_probabilities(
         "_target",
         metadata={"ml_attr": {"type": "nominal", "vals": [str(value) for value in classes]}},
     )
-    sizes = {row.fold: row.n for row in features.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    sizes = {
+        row.fold: row.n
+        for row in features.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()
+    }
 
     def score(fold: int) -> DataFrame:
         train = gather_for_fit(
             features.filter(F.col("fold") != fold).select("features", named), n_rows
         )
         n_train = sum(n for other, n in sizes.items() if other != fold)
-        model = LogisticRegression(
-            labelCol="_target",
-            family="multinomial",
-            regParam=1.0 / (inverse_penalty * max(n_train, 1)),
-            elasticNetParam=0.0,
-            standardization=False,
-            maxIter=max_iter,
-        ).fit(train)
+        model = logistic_regression("_target", n_train, inverse_penalty, max_iter).fit(train)
         return model.transform(features.filter(F.col("fold") == fold)).select(
             *df.columns, "fold", "label_index", vector_to_array("probability").alias("p")
         )

@@ -64,7 +64,7 @@ class SublinearCounts(
         return df.withColumn(self.getOutputCol(), damp(F.col(self.getInputCol())))
 
 
-def _damp(counts: SparseVector) -> SparseVector:
+def _damp(counts):
     return SparseVector(counts.size, counts.indices, 1.0 + np.log(counts.values))
 
 

@@ -3,8 +3,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from labelwright.models import classifier, folds
@@ -75,6 +77,30 @@ def test_folds_of_a_tiny_class(spark):
     assert sorted(r.fold for r in folds.assign_folds(df, "id").collect()) == [0, 1, 2]
 
 
+@pytest.mark.parametrize("n_classes", [2, 3])
+def test_logistic_regression_reaches_its_optimum(spark, n_classes):
+    """The gradient of |w|^2 / 2 + C * sum(log loss) vanishes at the fit."""
+    source = np.random.default_rng(5)
+    x = source.normal(size=(90, 4))
+    y = (np.abs(x[:, 0] * 2 + source.normal(size=90)) % n_classes).astype(int)
+    df = spark.createDataFrame(
+        [(float(label), Vectors.dense(row)) for label, row in zip(y, x)], ["_target", "features"]
+    )
+    penalty = 0.5
+    model = folds.logistic_regression("_target", 90, penalty, 1000).setTol(1e-10).fit(df)
+    scores = x @ model.coefficientMatrix.toArray().T + model.interceptVector.toArray()
+    if n_classes == 2:
+        p = 1 / (1 + np.exp(-scores[:, 0]))
+        gradient = penalty * x.T @ (p - y) + model.coefficients.toArray()
+        free = (p - y).sum()
+    else:
+        p = np.exp(scores - scores.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        gradient = penalty * (p - np.eye(n_classes)[y]).T @ x + model.coefficientMatrix.toArray()
+        free = (p - np.eye(n_classes)[y]).sum(axis=0)
+    assert np.abs(gradient).max() < 1e-3 and np.abs(free).max() < 1e-3
+
+
 def test_noise_is_found(reviews):
     scored = detect_noise(reviews, "id", classes=CLASSES, frac_noise=1.0, max_features=200, max_iter=20, min_docs=2)
     rows = scored.collect()
