@@ -260,13 +260,13 @@ def _(spark, sf_dir):
   CASE WHEN batch_id % 8 = 7 THEN NULL WHEN batch_id % 8 IN (3, 4) THEN 1 ELSE count(*) END::INT AS n_items
   FROM shaped GROUP BY batch_id""")
 def _(spark, sf_dir):
-    return relabel.parse_responses(answer_log(spark, sf_dir)).select(
+    return relabel.parse_responses(spool(answer_log(spark, sf_dir), "answers")).select(
         "batch_id", F.size("items").alias("_n"), F.col("items").isNull().alias("_none")
     ).select("batch_id", F.when(~F.col("_none"), F.col("_n")).alias("n_items"))
 
 
 def parsed_and_records(spark, sf_dir):
-    parsed = relabel.parse_responses(answer_log(spark, sf_dir))
+    parsed = relabel.parse_responses(spool(answer_log(spark, sf_dir), "answers"))
     return parsed, relabel.sanitize_records(parsed)
 
 

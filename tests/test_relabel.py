@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from labelwright.operators import relabel
 from labelwright.operators.relabel import _check_usable
@@ -33,8 +32,8 @@ SHAPES = [
 
 @pytest.mark.parametrize(("raw", "n"), SHAPES)
 def test_response_items(spark, raw, n):
-    df = spark.createDataFrame([(raw,)], "raw string")
-    items = df.select(relabel.response_items(F.col("raw")).alias("items")).first().items
+    log = spark.createDataFrame([(1, ["1"], raw, 1, None)], relabel.LOG_SCHEMA)
+    items = relabel.parse_responses(log).first()["items"]
     assert (None if items is None else len(items)) == n
 
 
