@@ -31,6 +31,7 @@ from labelwright.functions.text import bigrams, tokenize
 from labelwright.models.folds import assign_folds, oof_probabilities
 from labelwright.operators import confident, features, relabel
 from labelwright.operators.filters import split_by_flag
+from labelwright.operators.relabel import INSTRUCTION
 from labelwright.plans.curation import ask_model, curate
 from labelwright.plans.noise import score_labels
 from labelwright.session import scratch_path, spool
@@ -236,7 +237,7 @@ def _(spark, sf_dir):
 
 def obliging(prompt: str) -> str:
     """Stands in for the model: takes every hint, but never answers about 7s."""
-    items = json.loads(prompt[len(relabel.INSTRUCTION):])
+    items = json.loads(prompt[len(INSTRUCTION):])
     if any(int(item["row_id"]) % 97 == 7 for item in items):
         raise RuntimeError("no answer")
     return json.dumps([

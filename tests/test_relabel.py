@@ -3,7 +3,7 @@ import json
 import pytest
 
 from labelwright.operators import relabel
-from labelwright.operators.relabel import _check_usable
+from labelwright.operators.relabel import INSTRUCTION, _check_usable
 from labelwright.plans.curation import ask_model, curate
 from labelwright.session import scratch_path
 from labelwright.sources.answers import read_answers
@@ -95,7 +95,7 @@ def flagged(spark):
 
 def answering(change=lambda records, prompt: records):
     def complete(prompt):
-        items = json.loads(prompt[len(relabel.INSTRUCTION):])
+        items = json.loads(prompt[len(INSTRUCTION):])
         records = [
             {"row_id": i["row_id"], "text": i["text"], "rating": i["suggested_rating"],
              "corrected": i["rating"] != i["suggested_rating"], "reason": "hint"}
