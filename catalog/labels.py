@@ -207,6 +207,18 @@ def _(spark, sf_dir):
     return confident.noise_summary(scored(spark, sf_dir)).withColumn("pct_flagged", F.round("pct_flagged", 6))
 
 
+@query("noise_report", f"""WITH {SCORED}, s AS (SELECT count(*) AS n, count(*) FILTER (WHERE is_label_issue) AS f FROM scored),
+  worst AS (SELECT * FROM scored WHERE is_label_issue ORDER BY label_quality_score, doc_id LIMIT 5)
+  SELECT 'summary' AS section, 'n_input' AS key, '' AS detail, n::DOUBLE AS value FROM s
+  UNION ALL SELECT 'summary', 'n_flagged', '', f FROM s UNION ALL SELECT 'summary', 'n_clean', '', n - f FROM s
+  UNION ALL SELECT 'summary', 'pct_flagged', '', round(100.0::DOUBLE * f / n, 6) FROM s
+  UNION ALL SELECT 'class', rating::VARCHAR, '', count(*) FILTER (WHERE is_label_issue) FROM scored GROUP BY rating
+  UNION ALL SELECT 'worst', doc_id::VARCHAR, rating::INT||' -> '||suggested_rating::INT||': '||substring(text, 1, 80),
+    round(label_quality_score, 6) FROM worst""")
+def _(spark, sf_dir):
+    return confident.noise_report(scored(spark, sf_dir), "doc_id").withColumn("value", F.round("value", 6))
+
+
 # -- label correction --------------------------------------------------------------------
 
 SQL_ITEM = """doc_id::VARCHAR AS row_id, substring(text, 1, 500) AS text, rating::INT AS rating,

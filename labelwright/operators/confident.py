@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -277,3 +278,48 @@ def noise_summary(df: DataFrame, flag_col: str = "is_label_issue") -> DataFrame:
         (F.count(F.lit(1)) - flagged).alias("n_clean"),
         F.try_divide(flagged * F.lit(100.0), F.count(F.lit(1))).alias("pct_flagged"),
     )
+
+
+def noise_report(
+    df: DataFrame,
+    id_col: str,
+    text_col: str = "text",
+    label_col: str = "rating",
+    flag_col: str = "is_label_issue",
+    k: int = 5,
+) -> DataFrame:
+    """The noise figures as (section, key, detail, value).
+
+    Sections: summary, class (flagged rows of every class) and worst (the ``k``
+    rows of lowest quality, by id, with given and suggested label and text).
+    """
+    summary = noise_summary(df, flag_col)
+    entries = [
+        _report_entry("summary", F.lit(name), F.lit(""), F.col(name)) for name in summary.columns
+    ]
+    classes = issues_per_class(df, label_col, flag_col)
+    worst = worst_k(df.filter(F.col(flag_col)), id_col, k, text_col)
+    labels = F.format_string(
+        "%d -> %d: %s", F.col(label_col).cast("int"), F.col("suggested_rating").cast("int"), text_col
+    )
+    parts = [
+        summary.select(F.inline(F.array(*entries))),
+        classes.select(
+            F.inline(F.array(_report_entry("class", F.col(label_col), F.lit(""), F.col("flagged"))))
+        ),
+        worst.select(
+            F.inline(
+                F.array(_report_entry("worst", F.col(id_col), labels, F.col("label_quality_score")))
+            )
+        ),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _report_entry(section: str, key: Column, detail: Column, value: Column) -> Column:
+    return F.struct(
+        F.lit(section).alias("section"),
+        key.cast("string").alias("key"),
+        detail.alias("detail"),
+        value.cast("double").alias("value"),
+    )
