@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelwright.llm import bpe, mixing, quality, secrets, toxicity
+from labelwright.llm import bpe, mixing, quality, secrets, toxicity, warc
 from labelwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,29 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and digests of responses come from their decoded payloads, those of revisits from headers."""
+    back = warc.round_trip(table(spark, sf_dir, "pages"))
+    held = F.col("record_type") == "response"
+    return back.select(
+        "page_id",
+        F.when(held, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(held, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+ORACLES["op8_warc"] = """WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+  f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+  SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+    CASE WHEN page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+  FROM p LEFT JOIN f USING (d)"""
+
+
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
