@@ -51,3 +51,20 @@ def small_slices(
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+
+#: Keys of a filter by bucket: a table of at most this many rows, so it may be broadcast.
+FILTER_BUCKETS = 1 << 20
+
+
+def likely_in(rows: DataFrame, key: Column, needed: DataFrame, needed_key: Column) -> DataFrame:
+    """The rows whose ``key`` may be among ``needed``, and some others.
+
+    Saves a shuffle of rows that an equi-join would drop. What is broadcast are the
+    needed keys' buckets, ``FILTER_BUCKETS`` at most however many keys there are; with
+    very many, all rows pass, and the join after it is as exact as without.
+    """
+    name = free_name(rows.columns, "_bucket")
+    buckets = needed.select(F.pmod(needed_key, F.lit(FILTER_BUCKETS)).cast("int").alias(name)).distinct()
+    return rows.withColumn(name, F.pmod(key, F.lit(FILTER_BUCKETS)).cast("int")).join(
+        F.broadcast(buckets), name, "left_semi"
+    ).drop(name)
