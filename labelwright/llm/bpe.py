@@ -30,8 +30,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from labelwright.llm.common import small_slices
 
-MEMORY = 1_000_000
-SLICE_BYTES = 16 << 20
+MEMORY = 400_000
+SLICE_BYTES = 6 << 20
 MAX_RANKS_BYTES = 64 << 20
 
 #: White space as the rank files' library means it. Fixed values.
@@ -248,40 +248,38 @@ def encode(
 
 
 def decode(
-    encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded"
+    encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded",
+    id_bytes: str | None = None,
 ) -> DataFrame:
-    """``encoded`` with the bytes that the ids stand for. Null ids decode to nothing."""
+    """``encoded`` with the bytes that the ids stand for. Null ids decode to nothing.
+
+    ``id_bytes``: a column for the ids as little-endian unsigned 32-bit integers, if wanted.
+    """
     ranks = _shared_ranks(encoded.sparkSession, ranks_path)
+    schema = _with_column(encoded.schema, out, BinaryType())
+    if id_bytes:
+        schema = _with_column(schema, id_bytes, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = [b""] * (max(ranks.value.values(), default=-1) + 1)
         for value, rank in ranks.value.items():
             token[rank] = value
         for batch in batches:
-            values = [b"".join([token[i] for i in ids or ()]) for ids in _lists(batch.column(ids_col))]
-            yield _appended(batch, out, pa.array(values, pa.binary()))
+            texts, numbers = [], []
+            for ids in _lists(batch.column(ids_col)):
+                texts.append(b"".join([token[i] for i in ids.tolist()]))
+                if id_bytes:
+                    numbers.append(ids.astype("<u4").tobytes())
+            batch = _appended(batch, out, pa.array(texts, pa.binary()))
+            yield _appended(batch, id_bytes, pa.array(numbers, pa.binary())) if id_bytes else batch
 
-    return encoded.mapInArrow(run, _with_column(encoded.schema, out, BinaryType()))
+    return encoded.mapInArrow(run, schema)
 
 
-def _lists(column: pa.ListArray) -> Iterator[list[int] | None]:
-    """Each row's list by itself, so that one batch is never Python objects as a whole."""
+def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each row's ids by themselves, none for null; never a batch as Python objects."""
     flat = column.values.to_numpy(zero_copy_only=False)
     offsets = column.offsets.to_numpy()
     valid = column.is_valid().to_numpy(zero_copy_only=False)
     for row in range(len(column)):
-        yield flat[offsets[row] : offsets[row + 1]].tolist() if valid[row] else None
-
-
-def with_id_bytes(encoded: DataFrame, ids_col: str = "ids", out: str = "id_bytes") -> DataFrame:
-    """``encoded`` with the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(ids_col)
-            flat = column.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            offsets = column.offsets.to_numpy()
-            values = [flat[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield _appended(batch, out, pa.array(values, pa.binary()))
-
-    return encoded.mapInArrow(run, _with_column(encoded.schema, out, BinaryType()))
+        yield flat[offsets[row] : offsets[row + 1]] if valid[row] else flat[:0]

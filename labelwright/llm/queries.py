@@ -24,7 +24,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids")
-    whole = bpe.with_id_bytes(bpe.decode(ids, path))
+    whole = bpe.decode(ids, path, id_bytes="id_bytes")
     return whole.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from labelwright.llm.bpe import Encoder, Merges, decode, encode, load_ranks, replay, with_id_bytes
+from labelwright.llm.bpe import Encoder, Merges, decode, encode, load_ranks, replay
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, Ids string, extra int"
@@ -38,7 +38,7 @@ def test_equals_the_library_and_decodes(spark, library):
     data = [(i, t, "clash", 7) for i, t in enumerate(texts())]
     df = encode(spark.createDataFrame(data, SCHEMA), PATH, public_tokenizers.PATTERN)
     assert df.columns == ["doc_id", "text", "extra", "ids"]
-    rows = with_id_bytes(decode(df, PATH)).collect()
+    rows = decode(df, PATH, id_bytes="id_bytes").collect()
     assert len(rows) == len(data)
     for r in rows:
         want = library.encode_ordinary(r.text or "")
