@@ -30,8 +30,8 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, S
 
 from labelwright.llm.common import small_slices
 
-MEMORY = 400_000
-SLICE_BYTES = 6 << 20
+MEMORY = 250_000
+SLICE_BYTES = 4 << 20
 MAX_RANKS_BYTES = 64 << 20
 
 #: White space as the rank files' library means it. Fixed values.
