@@ -52,14 +52,18 @@ def typed(spark, sf_dir):
   CASE WHEN b THEN NULL ELSE asin END AS asin, CASE WHEN b THEN NULL ELSE "reviewerID" END AS user_id
   FROM (SELECT *, {sql_h('b')} < 0.02 AS b FROM reviews)""")
 def _(spark, sf_dir):
-    """A few lines are cut short and must come back as rows of nulls."""
-    line = F.to_json(
-        F.struct("doc_id", "text", "rating", "asin", F.col("reviewerID").alias("user_id"))
+    """Some ratings are strings; a few lines are cut short and must come back as rows of nulls."""
+    as_written = lambda rating: F.to_json(
+        F.struct("doc_id", "text", rating.alias("rating"), "asin", F.col("reviewerID").alias("user_id"))
+    )
+    line = F.when(F.col("doc_id") % 3 == 0, as_written(F.col("rating").cast("string"))).otherwise(
+        as_written(F.col("rating"))
     )
     broken = F.when(h("b") < 0.02, F.lit('{"text": "cut sho')).otherwise(line)
     path = scratch_path(spark, "json")
     reviews(spark, sf_dir).select(broken.alias("value")).write.text(path)
-    return files.scan_json(spark, path, StructType(WITH_ID + RAW_REVIEW.fields))
+    lines = files.scan_json(spark, path, StructType(WITH_ID + RAW_REVIEW.fields))
+    return lines.withColumn("rating", F.col("rating").try_cast("double"))
 
 
 @query("scan_csv", f"WITH {DIRTY} SELECT * FROM typed")
@@ -529,12 +533,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """The place of each row in the shuffled table, as it comes out of the sort."""
     rows = reviews(spark, sf_dir).select("doc_id", "rating")
-    shuffled = position.shuffle_rows(rows, "doc_id", "7").schema.names
-    from labelwright.functions.hashing import seeded_digest
-
-    return position.ordered_position(
-        rows.select(*shuffled), [seeded_digest(F.col("doc_id"), "7"), "doc_id"], "place"
-    )
+    return position.numbered(position.shuffle_rows(rows, "doc_id", "7"), "place")
 
 
 @query("row_position", f"""WITH {REVIEWS} SELECT doc_id,

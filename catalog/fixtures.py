@@ -337,7 +337,7 @@ def answer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = (
         F.when(shape == 0, listing(good))
         .when(shape == 1, F.concat(F.lit("Here it is:\n"), listing(good), F.lit(" done")))
-        .when(shape == 2, F.concat(F.lit('{"reviews":'), listing(good), F.lit("}")))
+        .when(shape == 2, F.concat(F.lit('{"note":"[hint] used","reviews":'), listing(good), F.lit("}")))
         .when(shape == 3, as_record(first, good(first, nothing)))
         .when(shape == 4, as_record(bracketed, good(bracketed, nothing)))
         .when(shape == 5, listing(first_lacks))

@@ -33,7 +33,7 @@ from labelwright.operators import confident, features, relabel
 from labelwright.operators.filters import split_by_flag
 from labelwright.operators.relabel import INSTRUCTION
 from labelwright.plans.curation import ask_model, curate
-from labelwright.plans.noise import score_labels
+from labelwright.plans.noise import detect_noise, noise_split, score_labels
 from labelwright.session import scratch_path, spool
 
 # -- text features ---------------------------------------------------------------
@@ -120,6 +120,16 @@ def _(spark, sf_dir):
                          F.round(F.col("p")[0] + F.col("p")[1], 6).alias("p_sum"))
 
 
+@query("detect_noise", f"""WITH {LABELLED} SELECT doc_id, rating, true AS scored FROM labelled""")
+def _(spark, sf_dir):
+    """More rows than the models are fitted on: each is noisy or clean, none is lost."""
+    rows = labelled(spark, sf_dir)
+    noisy, clean = noise_split(detect_noise(rows, "doc_id", classes=(0.0, 1.0), max_per_class=20))
+    parts = [part.select("doc_id", "rating", F.col("label_quality_score").between(0, 1).alias("scored"))
+             for part in (noisy, clean)]
+    return parts[0].unionByName(parts[1])
+
+
 @query("class_thresholds", f"""WITH {JOINT} SELECT j AS label_index, round(threshold, 9) AS threshold, n
   FROM thresholds""")
 def _(spark, sf_dir):
@@ -187,7 +197,7 @@ def _(spark, sf_dir):
     return confident.rank_issues(noisy, "doc_id").select("doc_id", "issue_rank")
 
 
-@query("worst_k", f"""WITH {SCORED} SELECT doc_id, substring(text, 1, 80) AS text, rating, suggested_rating
+@query("worst_k", f"""WITH {SCORED} SELECT doc_id, text, rating, suggested_rating
   FROM scored WHERE is_label_issue ORDER BY label_quality_score, doc_id LIMIT 5""")
 def _(spark, sf_dir):
     noisy, _ = split_by_flag(scored(spark, sf_dir), "is_label_issue")
@@ -213,7 +223,7 @@ def _(spark, sf_dir):
   UNION ALL SELECT 'summary', 'n_flagged', '', f FROM s UNION ALL SELECT 'summary', 'n_clean', '', n - f FROM s
   UNION ALL SELECT 'summary', 'pct_flagged', '', round(100.0::DOUBLE * f / n, 6) FROM s
   UNION ALL SELECT 'class', rating::VARCHAR, '', count(*) FILTER (WHERE is_label_issue) FROM scored GROUP BY rating
-  UNION ALL SELECT 'worst', doc_id::VARCHAR, rating::INT||' -> '||suggested_rating::INT||': '||substring(text, 1, 80),
+  UNION ALL SELECT 'worst', doc_id::VARCHAR, rating::INT||' -> '||suggested_rating::INT||': '||text,
     round(label_quality_score, 6) FROM worst""")
 def _(spark, sf_dir):
     return confident.noise_report(scored(spark, sf_dir), "doc_id").withColumn("value", F.round("value", 6))
@@ -221,7 +231,7 @@ def _(spark, sf_dir):
 
 # -- label correction --------------------------------------------------------------------
 
-SQL_ITEM = """doc_id::VARCHAR AS row_id, substring(text, 1, 500) AS text, rating::INT AS rating,
+SQL_ITEM = """doc_id::VARCHAR AS row_id, text, rating::INT AS rating,
   suggested_rating::INT AS suggested_rating"""
 
 
@@ -317,6 +327,18 @@ def _(spark, sf_dir):
     return relabel.apply_outcomes(suspects(spark, sf_dir), outcomes, "doc_id").drop("suggested_rating")
 
 
+@query("apply_outcomes_partial", f"""WITH {ANSWERS}
+  SELECT doc_id, CASE WHEN batch_id % 3 = 0 THEN old_rating ELSE coalesce(new_rating, old_rating) END AS rating,
+    CASE WHEN batch_id % 3 = 0 THEN 'original_noisy' ELSE source END AS source,
+    CASE WHEN batch_id % 3 = 0 THEN 'not_asked' ELSE reason END AS reason FROM outcomes""")
+def _(spark, sf_dir):
+    """A log that covers part of the flagged rows: each of them comes back once."""
+    log = spool(answer_log(spark, sf_dir), "answers").filter("batch_id % 3 <> 0")
+    return curate(suspects(spark, sf_dir), reviews(spark, sf_dir), log, "doc_id").corrected.select(
+        "doc_id", "rating", "source", "reason"
+    )
+
+
 @query("union_tagged", f"""WITH {CURATED} SELECT doc_id, rating,
   CASE WHEN doc_id % 2 = 0 THEN 'clean_original' ELSE 'verified' END AS source FROM curated""")
 def _(spark, sf_dir):
@@ -347,17 +369,17 @@ def _(spark, sf_dir):
   UNION ALL SELECT 'records_normalized', count(*) FROM records WHERE outcome = 'normalized'
   UNION ALL SELECT 'rows_corrected', count(*) FROM outcomes WHERE source = 'corrected'
   UNION ALL SELECT 'rows_verified', count(*) FROM outcomes WHERE source = 'verified'
-  UNION ALL SELECT 'rows_original_noisy', count(*) FROM outcomes WHERE source = 'original_noisy'""")
+  UNION ALL SELECT 'rows_original_noisy', count(*) FROM outcomes WHERE source = 'original_noisy'
+  UNION ALL SELECT 'rows_not_asked', 0""")
 def _(spark, sf_dir):
     return curation(spark, sf_dir).counters.withColumn("value", F.round("value", 6))
 
 
-@query("failure_log", f"""WITH {ANSWERS}, notes AS (
-    SELECT DISTINCT batch_id, -1 AS pos, '[label_correction] unusable answer' AS reason FROM shaped WHERE shape = 7
-    UNION ALL SELECT batch_id, item_no, CASE WHEN item_no = 0 THEN '[rating_normalized] 2.5: '
-        WHEN item_no = 2 THEN '[rating_invalid] 9: ' ELSE '[rating_invalid] NaN: ' END
-      ||substring(text, 1, 60) FROM records WHERE shape = 6 AND item_no IN (0, 2, 4))
-  SELECT * FROM notes ORDER BY batch_id, pos LIMIT 100""")
+@query("failure_log", f"""WITH {ANSWERS}
+  SELECT DISTINCT batch_id, -1 AS pos, 'failed' AS outcome, 'unusable answer' AS detail FROM shaped WHERE shape = 7
+  UNION ALL SELECT batch_id, item_no, outcome, CASE WHEN shape = 5 THEN 'no rating'
+      ELSE list_extract(['2.5', '4', '9', 'true', 'NaN'], item_no + 1) END||': '||text
+    FROM records WHERE outcome <> 'ok'""")
 def _(spark, sf_dir):
     return curation(spark, sf_dir).reasons
 

@@ -20,7 +20,8 @@ def _schema(**columns) -> StructType:
 
 TEXT, NUMBER, FLAG = StringType(), DoubleType(), BooleanType()
 
-RAW_REVIEW = _schema(text=TEXT, rating=NUMBER, asin=TEXT, user_id=TEXT)
+# A rating may come as a number or a string; project_reviews casts it.
+RAW_REVIEW = _schema(text=TEXT, rating=TEXT, asin=TEXT, user_id=TEXT)
 REVIEW = _schema(text=TEXT, rating=NUMBER, asin=TEXT, reviewerID=TEXT)
 SCORED_REVIEW = StructType(
     REVIEW.fields

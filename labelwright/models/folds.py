@@ -85,8 +85,12 @@ def oof_probabilities(
     max_features: int = MAX_FEATURES,
     min_docs: int = MIN_DOCS,
     seed: str = SEED,
+    others: DataFrame | None = None,
 ) -> DataFrame:
-    """Each row scored by a model that did not see it: label_index, fold, p.
+    """Each row scored by models that did not see it: label_index, fold, p.
+
+    ``others``: rows with the columns of ``df`` to score besides. No model sees
+    them, so their p is the mean over the models of all folds and their fold is null.
 
     The vectoriser is fitted on all rows, the logistic regressions on the other
     folds. The features and the result are written once each; the fits read the
@@ -102,9 +106,9 @@ def oof_probabilities(
     )
     n_rows = placed.count()
     labelled = spread_small(placed, id_col, n_rows)
+    vectors = vectorizer.fit(labelled)
     features = spool(
-        vectorizer.fit(labelled)
-        .transform(labelled)
+        vectors.transform(labelled)
         .withColumn("label_index", label_encode(classes, F.col(label_col)))
         .filter(F.col("label_index").isNotNull())
         .drop(*WORKING_COLUMNS),
@@ -120,17 +124,43 @@ def oof_probabilities(
         for row in features.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()
     }
 
-    def score(fold: int) -> DataFrame:
+    def fit(fold: int):
         train = gather_for_fit(
             features.filter(F.col("fold") != fold).select("features", named), n_rows
         )
         n_train = sum(n for other, n in sizes.items() if other != fold)
-        model = logistic_regression("_target", n_train, inverse_penalty, max_iter).fit(train)
-        return model.transform(features.filter(F.col("fold") == fold)).select(
-            *df.columns, "fold", "label_index", vector_to_array("probability").alias("p")
-        )
+        return logistic_regression("_target", n_train, inverse_penalty, max_iter).fit(train)
 
     # The fits are independent: their jobs share the cluster.
     with ThreadPool(max(len(sizes), 1)) as pool:
-        scored = pool.map(inheritable_thread_target(df.sparkSession)(score), sorted(sizes))
+        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), sorted(sizes))
+    scored = [
+        model.transform(features.filter(F.col("fold") == fold)).select(
+            *df.columns, "fold", "label_index", vector_to_array("probability").alias("p")
+        )
+        for fold, model in zip(sorted(sizes), models)
+    ]
+    if others is not None:
+        scored.append(
+            _mean_scored(
+                vectors.transform(others)
+                .withColumn("label_index", label_encode(classes, F.col(label_col)))
+                .filter(F.col("label_index").isNotNull()),
+                models,
+            ).select(*df.columns, F.lit(None).cast("int").alias("fold"), "label_index", "p")
+        )
     return spool(reduce(DataFrame.unionByName, scored), "out_of_fold")
+
+
+def _mean_scored(features: DataFrame, models: Sequence) -> DataFrame:
+    """``features`` with p, the mean of the models' probabilities."""
+    parts = []
+    for number, model in enumerate(models):
+        names = {kind: f"_{kind}{number}" for kind in ("probability", "raw", "prediction")}
+        model = model.copy()
+        model.setProbabilityCol(names["probability"]).setPredictionCol(names["prediction"])
+        model.setRawPredictionCol(names["raw"])
+        features = model.transform(features).drop(names["raw"], names["prediction"])
+        parts.append(vector_to_array(names["probability"]))
+    total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
+    return features.withColumn("p", F.transform(total, lambda x: x / F.lit(float(len(models)))))

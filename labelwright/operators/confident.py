@@ -252,15 +252,14 @@ def worst_k(
     id_col: str,
     k: int = 5,
     text_col: str = "text",
-    prefix_chars: int = 80,
+    prefix_chars: int | None = None,
     score_col: str = "label_quality_score",
 ) -> DataFrame:
-    """The ``k`` flagged rows of lowest quality, text cut for display."""
-    return (
-        flagged.orderBy(score_col, id_col)
-        .limit(k)
-        .withColumn(text_col, F.substring(text_col, 1, prefix_chars))
-    )
+    """The ``k`` flagged rows of lowest quality, text cut for display if asked for."""
+    worst = flagged.orderBy(score_col, id_col).limit(k)
+    if prefix_chars is None:
+        return worst
+    return worst.withColumn(text_col, F.substring(text_col, 1, prefix_chars))
 
 
 def issues_per_class(df: DataFrame, label_col: str, flag_col: str = "is_label_issue") -> DataFrame:
@@ -287,6 +286,7 @@ def noise_report(
     label_col: str = "rating",
     flag_col: str = "is_label_issue",
     k: int = 5,
+    prefix_chars: int | None = None,
 ) -> DataFrame:
     """The noise figures as (section, key, detail, value).
 
@@ -298,7 +298,7 @@ def noise_report(
         _report_entry("summary", F.lit(name), F.lit(""), F.col(name)) for name in summary.columns
     ]
     classes = issues_per_class(df, label_col, flag_col)
-    worst = worst_k(df.filter(F.col(flag_col)), id_col, k, text_col)
+    worst = worst_k(df.filter(F.col(flag_col)), id_col, k, text_col, prefix_chars)
     labels = F.format_string(
         "%d -> %d: %s", F.col(label_col).cast("int"), F.col("suggested_rating").cast("int"), text_col
     )

@@ -58,9 +58,12 @@ def ordered_position(
     (partition, place). The partition sizes then give the offsets; there are at
     most as many as ``spark.sql.shuffle.partitions``, so they are broadcast.
     """
-    placed = spool(
-        df.orderBy(*order).withColumn("_slot", F.monotonically_increasing_id()), "ordered"
-    )
+    return numbered(df.orderBy(*order), out)
+
+
+def numbered(df: DataFrame, out: str = "position") -> DataFrame:
+    """0-based place of each row in the order in which ``df`` comes."""
+    placed = spool(df.withColumn("_slot", F.monotonically_increasing_id()), "ordered")
     part = F.shiftright("_slot", 33)
     inside = F.col("_slot").bitwiseAND(F.lit((1 << 33) - 1))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(*_ROWS_BEFORE)

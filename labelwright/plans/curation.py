@@ -22,6 +22,7 @@ from labelwright.operators.relabel import (
     failure_reasons,
     parse_responses,
     sanitize_records,
+    unanswered_counter,
 )
 from labelwright.session import spool
 from labelwright.sources.answers import answered_ids, append_answers, read_answers
@@ -90,6 +91,8 @@ def curate(
     return Curation(
         curated=assemble_curated(clean, corrected, id_col, text_col, label_col, domain),
         corrected=corrected,
-        counters=curation_counters(parsed, records, outcomes),
+        counters=curation_counters(parsed, records, outcomes).unionByName(
+            unanswered_counter(corrected)
+        ),
         reasons=failure_reasons(parsed, records),
     )

@@ -15,8 +15,6 @@ from labelwright.operators.filters import (
 )
 from labelwright.operators.sampling import stratified_sample
 
-SAMPLE_FRACTION = 0.1
-
 
 def ingest(
     raw: DataFrame,
@@ -25,10 +23,12 @@ def ingest(
     domain: Sequence[float] = DOMAIN,
     seed: str = SEED,
 ) -> DataFrame:
-    """Project, filter and sample in one narrow pass: no shuffle at all."""
+    """Project, filter and sample in one narrow pass: no shuffle at all.
+
+    Without ``fractions`` no row is left out.
+    """
     reviews = structural_filter(project_reviews(raw, id_col), domain=domain)
-    shares = fractions or {value: SAMPLE_FRACTION for value in domain}
-    return stratified_sample(reviews, shares, id_col, seed=seed)
+    return stratified_sample(reviews, fractions, id_col, seed=seed) if fractions else reviews
 
 
 def ingest_funnel(raw: DataFrame, id_col: str, domain: Sequence[float] = DOMAIN) -> DataFrame:

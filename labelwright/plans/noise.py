@@ -17,6 +17,7 @@ from labelwright.operators.confident import (
 )
 from labelwright.operators.filters import split_by_flag
 from labelwright.operators.sampling import cap_per_class
+from labelwright.session import spool
 
 MAX_PER_CLASS = 3000
 
@@ -54,12 +55,18 @@ def detect_noise(
     seed: str = SEED,
     **training,
 ) -> DataFrame:
-    """Cap the classes, score every row out of fold, flag the suspects."""
-    rows = df.na.drop(subset=[text_col, label_col])
+    """Score every row by models that did not see it, flag the suspects.
+
+    The models are fitted on at most ``max_per_class`` rows of each class, out of
+    fold. Rows beyond that are scored too, by the mean of the models: none is lost.
+    """
+    rows = spool(df.na.drop(subset=[text_col, label_col]), "rated")
+    fitted, others = rows, None
     if max_per_class:
-        rows = cap_per_class(rows, max_per_class, id_col, label_col, seed)
+        fitted = spool(cap_per_class(rows, max_per_class, id_col, label_col, seed), "fitted")
+        others = rows.join(fitted.select(id_col), id_col, "left_anti").select(*rows.columns)
     scored = oof_probabilities(
-        rows, id_col, text_col, label_col, classes, seed=seed, **training
+        fitted, id_col, text_col, label_col, classes, seed=seed, others=others, **training
     )
     return score_labels(scored, id_col, classes, frac_noise)
 

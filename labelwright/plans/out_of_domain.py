@@ -16,7 +16,6 @@ from labelwright.operators.filters import funnel_rows, keep_valid_labels, min_le
 from labelwright.operators.sampling import sample_n
 from labelwright.session import spool
 
-SAMPLE_SIZE = 3000
 FUNNEL = ("raw", "not_missing", "text_long_enough", "unique_text", "label_valid", "sampled")
 
 
@@ -36,22 +35,24 @@ def prepare_ood(
     hotels: DataFrame,
     id_col: str,
     ratings_col: str = "ratings",
-    n: int = SAMPLE_SIZE,
+    n: int | None = None,
     domain: Sequence[float] = DOMAIN,
     seed: str = SEED,
 ) -> DataFrame:
-    """(id, text, rating): ``n`` rows that pass every check, or all of them."""
+    """(id, text, rating): the rows that pass every check; a sample of ``n`` of them if asked for."""
     _, unique = _steps(hotels, id_col, ratings_col)
+    valid = keep_valid_labels(unique, "rating", domain, overwrite=True)
+    if n is None:
+        return valid
     # Written once, because the sample reads it three times.
-    valid = spool(keep_valid_labels(unique, "rating", domain, overwrite=True), "ood")
-    return sample_n(valid, n, id_col, seed)
+    return sample_n(spool(valid, "ood"), n, id_col, seed)
 
 
 def ood_funnel(
     hotels: DataFrame,
     id_col: str,
     ratings_col: str = "ratings",
-    n: int = SAMPLE_SIZE,
+    n: int | None = None,
     domain: Sequence[float] = DOMAIN,
 ) -> DataFrame:
     """Rows left after each check: one aggregate before dedup, one after."""
@@ -75,6 +76,6 @@ def ood_funnel(
         "_n2",
         after["unique"].alias("_n3"),
         after["valid"].alias("_n4"),
-        F.least(after["valid"], F.lit(n)).alias("_n5"),
+        (after["valid"] if n is None else F.least(after["valid"], F.lit(n))).alias("_n5"),
     )
     return funnel_rows(counts, FUNNEL)

@@ -16,6 +16,7 @@ SHAPES = [
     (f"Sure: [{RECORD}] that is all", 1),
     ('{"reviews": [%s, %s]}' % (RECORD, RECORD), 2),
     ('{"note": "x", "items": [%s]}' % RECORD, 1),
+    ('{"note":"[hint] used","reviews":[%s]}' % RECORD, 1),
     (RECORD, 1),
     ('{"text":"a [fine] record","rating":5}', 1),
     ("[]", 0),
@@ -106,11 +107,24 @@ def answering(change=lambda records, prompt: records):
     return complete
 
 
-def test_requests_cut_the_text_and_keep_the_row(flagged):
+def test_requests_hold_whole_texts_unless_told(flagged):
     requests = relabel.build_requests(flagged, "id").collect()
     sizes = sorted(len(r["items"]) for r in requests)
     assert sizes == [3, 5, 5, 5, 5]
-    assert {len(i.text) for r in requests for i in r["items"]} == {500}
+    whole = {str(r.id): r.text for r in flagged.collect()}
+    assert {i.row_id: i.text for r in requests for i in r["items"]} == whole
+    cut = relabel.build_requests(flagged, "id", max_chars=500).collect()
+    assert {len(i.text) for r in cut for i in r["items"]} == {500}
+
+
+def test_rows_that_no_request_covers_come_back(spark, flagged):
+    log = ask_model(flagged.filter("id < 7"), answering(), scratch_path(spark, "log"), "id", wait_seconds=0.0)
+    result = curate(flagged, flagged.limit(0), log, "id")
+    rows = result.corrected.collect()
+    assert sorted(r.id for r in rows) == sorted(r.id for r in flagged.collect())
+    assert {r.reason for r in rows if r.id >= 7} == {"not_asked"}
+    counters = {r.counter: r.value for r in result.counters.collect()}
+    assert counters["rows_not_asked"] == flagged.count() - 7
 
 
 def test_every_row_comes_back_once_with_its_whole_text(spark, flagged):
