@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from labelwright.llm.common import free_name, small_slices
+from labelwright.llm.common import free_name, likely_in, small_slices
 from labelwright.llm.components import components
 from labelwright.session import spool
 
@@ -195,11 +195,14 @@ def candidates(nodes: DataFrame) -> DataFrame:
     crowd = spool(
         first.join(shared, "region").groupBy("node").agg(F.sum("members").alias("crowd")), "crowd"
     )
-    dense = spool(nodes.join(crowd, "node"), "dense")
+    dense = spool(likely_in(nodes, F.col("node"), crowd, F.col("node")).join(crowd, "node"), "dense")
     found = None
-    rows = dense.select("node", "crowd", "sig", _all_trees())
-    for depth in DEPTHS:
-        placed = rows.withColumn("region", _region(F.col("tree"), depth))
+    # A row per tree, with its regions at all depths in place of the signature.
+    rows = dense.select("node", "crowd", "sig", _all_trees()).select(
+        "node", "crowd", F.array(*[_region(F.col("tree"), d) for d in DEPTHS]).alias("regions")
+    )
+    for level in range(len(DEPTHS)):
+        placed = rows.withColumn("region", F.get("regions", F.lit(level)))
         regions = (
             placed.groupBy("region").agg(
                 F.count(F.lit(1)).alias("members"), F.min("node").alias("low"),
@@ -213,7 +216,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
             F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
         )
         found = pairs if found is None else found.unionByName(pairs)
-        rows = inside.where("members > 2").select("node", "crowd", "sig", "tree")
+        rows = inside.where("members > 2").select("node", "crowd", "regions")
     sig = dense.select("node", "sig")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
     least = THRESHOLD - MARGIN * (THRESHOLD * (1 - THRESHOLD) / VALUES) ** 0.5
@@ -266,8 +269,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     texts = docs.select(
         F.col(id_col).alias("_id"), printed.alias("_print"), F.col(text_col).alias("text")
-    ).alias("t")
-    held = texts.join(
+    )
+    held = likely_in(texts, F.col("_print"), needed, F.col("_print")).alias("t").join(
         needed.alias("n"),
         (F.col("t._print") == F.col("n._print")) & F.col("t._id").eqNullSafe(F.col("n._id")),
     ).select("n.node", "t.text")
