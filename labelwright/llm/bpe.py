@@ -35,7 +35,7 @@ SLICE_BYTES = 4 << 20
 MAX_RANKS_BYTES = 64 << 20
 
 #: White space as the rank files' library means it. Fixed values.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

@@ -124,3 +124,48 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.written(base), 256).alias("base_sha256"),
         secrets.written(F.col("spans")).alias("spans"),
     )
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_places(name: str, pattern: str) -> str:
+    """Matches of a pattern with their places, from what lies between them."""
+    return f"""{name} AS (SELECT doc_id, f[i] AS s,
+      coalesce(list_sum(list_transform(b[1:i], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS a
+    FROM (SELECT doc_id, regexp_extract_all(t, {_sql(pattern)}) AS f, string_split_regex(t, {_sql(pattern)}) AS b,
+        unnest(range(1, len(regexp_extract_all(t, {_sql(pattern)})) + 1)) AS i FROM d))"""
+
+
+ORACLES["op10_secrets"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  {_sql_places('assigned', secrets.ASSIGN)},
+  {_sql_places('accessed', secrets.ACCESS)},
+  {_sql_places('hexed', secrets.HEX[:-1] + '{32,}')},
+  {_sql_places('runs', secrets.CANDIDATE[:-1] + '{20,}')},
+  base AS (SELECT doc_id, a, 0 AS k, a + length(s) AS e FROM assigned
+      WHERE length(regexp_extract(s, {_sql(secrets.ASSIGN)}, 2)) >= 8
+    UNION ALL SELECT doc_id, a, 1, a + length(s) FROM accessed WHERE length(s) >= 16
+    UNION ALL SELECT doc_id, a, 2, a + length(s) FROM hexed WHERE length(s) >= 32),
+  candidates AS (SELECT doc_id, s, a, CASE {' '.join(
+      f"WHEN regexp_matches(s, {_sql(test)}) THEN {bits}" for _, test, bits in secrets.CLASSES)} END AS bits
+    FROM runs WHERE length(s) >= {secrets.WINDOW} AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')
+      AND NOT ({' OR '.join(f"regexp_matches(s, {_sql(p)})" for p in secrets.ALLOWED)})),
+  windows AS (SELECT doc_id, a AS run, a + i AS a, bits, substring(s, i + 1, {secrets.WINDOW}) AS w
+    FROM (SELECT *, unnest(range(0, length(s) - {secrets.WINDOW - 1})) AS i FROM candidates)),
+  hits AS (SELECT doc_id, run, a FROM windows WHERE log2({secrets.WINDOW}) - list_sum(list_transform(
+      map_values(list_histogram(string_split(w, ''))), lambda n: n * log2(n))) / {secrets.WINDOW} >= bits - 1e-9),
+  marked AS (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY doc_id, run ORDER BY a) <= {secrets.WINDOW}
+      THEN 0 ELSE 1 END AS fresh FROM hits),
+  islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, run ORDER BY a) AS island FROM marked),
+  added AS (SELECT doc_id, min(a) AS a, 3 AS k, max(a) + {secrets.WINDOW} AS e FROM islands GROUP BY doc_id, run, island),
+  every AS (SELECT * FROM base UNION ALL SELECT * FROM added x WHERE NOT EXISTS (
+      SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.a < x.e AND x.a < b.e)),
+  written AS (SELECT doc_id, a, k, ['assign', 'access', 'hex', 'entropy'][k + 1]||':'||a||':'||e AS one FROM every),
+  joined AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access,
+      count(*) FILTER (WHERE k = 2) AS n_hex, coalesce(string_agg(one, ',' ORDER BY a, k) FILTER (WHERE k < 3), '') AS base,
+      string_agg(one, ',' ORDER BY a, k) AS spans FROM written GROUP BY doc_id)
+  SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+    coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  FROM d LEFT JOIN joined USING (doc_id)"""
