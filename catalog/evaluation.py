@@ -25,6 +25,7 @@ from catalog.fixtures import (
     reviews,
     sql_digest,
     sql_h,
+    table,
 )
 from catalog.registry import query
 from labelwright.models import classifier
@@ -93,7 +94,7 @@ def _(spark, sf_dir):
 # -- models: the solver is Spark's, so rows and invariants are checked ----------------
 
 QUALITY = (0.0, 1.0)
-SMALL = {"classes": QUALITY, "max_features": 1000, "max_iter": 10}
+BINARY = {"classes": QUALITY}
 
 
 def halves(spark, sf_dir):
@@ -107,12 +108,12 @@ def halves(spark, sf_dir):
     SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i]||' '||t[i + 1])) FROM tokens),
   counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY ALL),
   words AS (SELECT term, sum(tf) AS total, count(*) AS df FROM counts GROUP BY term
-    HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 1000)
+    HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 10000)
   SELECT term, round(ln((1.0::DOUBLE + (SELECT count(*) FROM train)) / (1 + df)) + 1, 6) AS idf FROM words""")
 def _(spark, sf_dir):
     """The fitted vocabulary with its idf weights."""
     train, _ = halves(spark, sf_dir)
-    model = classifier.train_text_classifier(train, "doc_id", **SMALL)
+    model = classifier.train_text_classifier(train, "doc_id", **BINARY)
     return spark.createDataFrame(
         list(zip(model.stages[1].vocabulary, map(float, model.stages[3].getScalingVec()))),
         "term string, idf double",
@@ -122,7 +123,7 @@ def _(spark, sf_dir):
 @query("predict")
 def _(spark, sf_dir):
     train, test = halves(spark, sf_dir)
-    model = classifier.train_text_classifier(train, "doc_id", **SMALL)
+    model = classifier.train_text_classifier(train, "doc_id", **BINARY)
     return classifier.predict(model, test, QUALITY).select("doc_id", "rating", "prediction")
 
 
@@ -130,7 +131,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Do predictions before saving and after loading agree?"""
     train, test = halves(spark, sf_dir)
-    model = classifier.train_text_classifier(train, "doc_id", **SMALL)
+    model = classifier.train_text_classifier(train, "doc_id", **BINARY)
     path = scratch_path(spark, "model")
     model.write().save(path)
     before = classifier.predict(model, test, QUALITY).select("doc_id", F.col("prediction").alias("before"))
@@ -143,7 +144,7 @@ def _(spark, sf_dir):
 @query("evaluate")
 def _(spark, sf_dir):
     train, test = halves(spark, sf_dir)
-    row, _ = classifier.evaluate("all rows", train, test, "doc_id", **SMALL)
+    row, _ = classifier.evaluate("all rows", train, test, "doc_id", **BINARY)
     return row
 
 
@@ -155,16 +156,17 @@ def _(spark, sf_dir):
     full = comparison.dedup_text(noisy, "doc_id")
     test = comparison.fixed_test_set(raw, "doc_id", per_class=20)
     variants = comparison.build_variants(noisy, full, comparison.dedup_text(raw, "doc_id"), test, "doc_id")
-    return comparison.compare_variants(variants, test, "doc_id", **SMALL)
+    return comparison.compare_variants(variants, test, "doc_id", **BINARY)
 
 
 @query("evaluate_ood")
 def _(spark, sf_dir):
     """A model trained on English documents, scored on the other languages."""
-    rows = labelled(spark, sf_dir)
-    train, other = rows.filter(h("half") < 0.7), rows.filter(h("half") >= 0.7)
+    lang = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = labelled(spark, sf_dir).join(lang, "doc_id")
+    train, other = rows.filter("lang = 'en'"), rows.filter("lang <> 'en'")
     path = scratch_path(spark, "model")
-    classifier.train_text_classifier(train, "doc_id", **SMALL).write().save(path)
+    classifier.train_text_classifier(train, "doc_id", **BINARY).write().save(path)
     return classifier.evaluate_ood(path, other, classes=QUALITY)
 
 

@@ -113,9 +113,7 @@ def _(spark, sf_dir):
 
     The probabilities themselves are the solver's; tests hold them to its optimum.
     """
-    scored = oof_probabilities(
-        labelled(spark, sf_dir), "doc_id", classes=(0.0, 1.0), max_iter=20, max_features=1000
-    )
+    scored = oof_probabilities(labelled(spark, sf_dir), "doc_id", classes=(0.0, 1.0))
     return scored.select("doc_id", "rating", "fold", F.size("p").alias("n_p"),
                          F.round(F.col("p")[0] + F.col("p")[1], 6).alias("p_sum"))
 

@@ -91,6 +91,7 @@ def oof_probabilities(
 
     ``others``: rows with the columns of ``df`` to score besides. No model sees
     them, so their p is the mean over the models of all folds and their fold is null.
+    Rows whose label is none of ``classes`` are left out.
 
     The vectoriser is fitted on all rows, the logistic regressions on the other
     folds. The features and the result are written once each; the fits read the
