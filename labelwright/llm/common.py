@@ -33,7 +33,8 @@ def free_name(taken: list[str], wanted: str) -> str:
 
 
 def small_slices(
-    batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int = MAX_SLICE_BYTES
+    batches: Iterator[pa.RecordBatch], text_column: str, max_bytes: int = MAX_SLICE_BYTES,
+    max_rows: int = MAX_SLICE_ROWS,
 ) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in order, in slices of about ``max_bytes`` of text at most.
 
@@ -45,7 +46,7 @@ def small_slices(
         ).to_pylist()
         start = held = 0
         for row, size in enumerate(sizes):
-            if row > start and (held + size > max_bytes or row - start >= MAX_SLICE_ROWS):
+            if row > start and (held + size > max_bytes or row - start >= max_rows):
                 yield batch.slice(start, row - start)
                 start, held = row, 0
             held += size
