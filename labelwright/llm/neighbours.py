@@ -4,7 +4,7 @@ Equal vectors are one node. The graph starts from a few sorts by random hyperpla
 nodes that come next to each other in a sorted partition are compared in blocks. Then
 NN-descent: the neighbours of each node, forward ones and a sample of those that point
 to it, are compared with one another, and a pair that beats the worst neighbour of one
-side goes into its list. It ends when few lists change.
+side goes into its list. ``TURNS`` turns are made.
 
 A search starts at the query's own node and goes on from the best nodes found that have
 not been looked at, to their neighbours, until all of the best ``LOOK`` have been. All
@@ -41,9 +41,8 @@ PER_BLOCK = 16
 FORWARD = 20
 BACKWARD = 20
 TURNS = 2
-SETTLED = 0.02
 LOOK = 44
-EXPAND = 16
+EXPAND = 44
 STEPS = 16
 ROWS_PER_PART = 2 * BLOCK
 SEED = 17
@@ -249,11 +248,7 @@ def build_graph(vectors: DataFrame, wide: int, count: int) -> DataFrame:
     graph = _first_graph(vectors, wide, parts)
     for turn in range(TURNS):
         better = spool(_turn(graph, vectors, wide, parts, turn).distinct(), "better")
-        merged = spool(_lists(graph.select("u", "v", "score").unionByName(better)), "graph")
-        changed = merged.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
-        graph = merged
-        if changed <= SETTLED * DEGREE * count:
-            break
+        graph = spool(_lists(graph.select("u", "v", "score").unionByName(better)), "graph")
     return graph
 
 
