@@ -5,10 +5,17 @@ the first ``DEPTHS[0]`` values of a tree form a region; a region with more than
 documents is divided again by further values, so dense regions go deeper than sparse
 ones. In the sorted order of a tree, the documents of a region at some depth are those
 with a common prefix of that length. Candidates are a region's members with two of
-them, never all its pairs: its first member, and its hub, the member that shares regions
-with most documents over all trees. A template and its many copies meet through the
-hub, two copies among strangers meet in the region that holds them alone. Regions are
-grouped aggregates and equi-joins; nothing collects a region.
+them: its first member, and its hub, the member that shares regions with most documents
+over all trees. A template and its many copies meet through the hub, two copies among
+strangers meet in the region that holds them alone. Regions are grouped aggregates and
+equi-joins; nothing collects a region.
+
+Regions with more than two documents have other pairs as well. There each document is
+also compared with the next ``NEXT`` of the tree's full order, those with the longest
+common prefixes. What is left are regions that hold several components: their documents
+are sorted again in new orders and compared with the next ones of other components, until
+a round confirms no link. Sorts are range sorts; what lies on both sides of a cut between
+two partitions is compared after them.
 
 Documents with equal sets are one node from the start. Candidates whose signatures
 agree too little for the threshold are left out by a margin of ``MARGIN`` standard
@@ -33,6 +40,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
@@ -47,6 +55,9 @@ TREES = 24
 DEPTHS = (3, 5, 8, 12, 18, 27)
 MARGIN = 4.5
 SEED = 11
+NEXT = 4
+ROWS_PER_SORT_PART = 1 << 16
+CHUNK_ROWS = 1 << 14
 SLICE_BYTES = 4 << 20
 
 
@@ -160,18 +171,148 @@ def _full_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, schema)
 
 
-def _orders(values: int = VALUES, trees: int = TREES, seed: int = SEED) -> list[list[int]]:
-    """Each tree's order of the signature; first values are shared by no two trees."""
-    rng = random.Random(seed)
+def _orders(values: int = VALUES, trees: int = TREES, turn: int = 0) -> list[list[int]]:
+    """Each tree's order of the signature; at first, first values are shared by no two trees."""
+    rng = random.Random(SEED + turn)
     out = []
     for t in range(trees):
-        own = [(t * DEPTHS[0] + i) % values for i in range(DEPTHS[0])]
+        own = [(t * DEPTHS[0] + i) % values for i in range(DEPTHS[0])] if not turn else rng.sample(range(values), DEPTHS[0])
         rest = [i for i in range(values) if i not in own]
         rng.shuffle(rest)
         out.append(own + rest)
     return out
 
 
+def _least_agreement() -> float:
+    return THRESHOLD - MARGIN * (THRESHOLD * (1 - THRESHOLD) / VALUES) ** 0.5
+
+
+def _sort_rows(turn: int):
+    """(node, sig, trees, family) to a row per tree, with 16 bits of each value in the tree's order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        orders = np.array(_orders(turn=turn))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sig = part.column("sig").flatten().to_numpy().reshape(-1, VALUES).view(np.uint32)
+                short = (sig ^ (sig >> np.uint32(16))).astype(">u2")
+                masks = part.column("trees").to_numpy()
+                row, tree = np.nonzero((masks[:, None] >> np.arange(TREES)) & 1)
+                keys = np.ascontiguousarray(short[row[:, None], orders[tree]])
+                ends = np.arange(len(row) + 1, dtype=np.int32) * (2 * VALUES)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(tree.astype(np.int32)),
+                     pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(keys)]),
+                     part.column("node").take(pa.array(row)), part.column("family").take(pa.array(row))],
+                    ["tree", "key", "node", "family"],
+                )
+
+    return run
+
+
+def _next_pairs(tree: np.ndarray, keys: np.ndarray, node: np.ndarray, family: np.ndarray) -> tuple:
+    """Rows in a tree's order, each with the next ``NEXT`` of other families that share its first values."""
+    n = len(node)
+    ends = np.flatnonzero(np.append(family[1:] != family[:-1], True)) + 1
+    after = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
+    row, other = np.arange(n), after.copy()
+    out = []
+    for _ in range(NEXT):
+        inside = other < n
+        row, other = row[inside], other[inside]
+        near = (tree[row] == tree[other]) & (keys[row, : DEPTHS[0]] == keys[other, : DEPTHS[0]]).all(axis=1)
+        row, other = row[near], other[near]
+        agreement = (keys[row] == keys[other]).mean(axis=1)
+        good = (agreement >= _least_agreement()) & (node[row] != node[other])
+        a, b = node[row[good]], node[other[good]]
+        out.append((np.minimum(a, b), np.maximum(a, b), agreement[good]))
+        other = other + 1
+        own = (other < n) & (family[np.minimum(other, n - 1)] == family[row])
+        other = np.where(own, after[np.minimum(other, n - 1)], other)
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+_PAIRS = "a long, b long, agreement double"
+_CUTS = "cut int, tree int, key binary, node long, family long"
+
+
+def _walk(cuts: bool):
+    """Sorted rows to pairs, and with ``cuts`` also the rows at the partition's ends."""
+    names = ["tree", "key", "node", "family"]
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+
+    def pairs(table: pa.Table) -> tuple[list, np.ndarray]:
+        tree, node, family = (table.column(x).to_numpy() for x in ("tree", "node", "family"))
+        raw = b"".join(table.column("key").to_pylist())
+        found = _next_pairs(tree, np.frombuffer(raw, ">u2").reshape(-1, VALUES), node, family)
+        # Later rows can need the last ones, and the last ones of other families than the last.
+        others = np.flatnonzero(family != family[-1])[-NEXT:]
+        tail = np.union1d(np.arange(max(0, len(node) - NEXT), len(node)), others)
+        return [pa.array(x) for x in found], tail
+
+    def shaped(found: list, cut: int | None = None, rows: pa.Table | None = None) -> pa.RecordBatch:
+        size = rows.num_rows if rows is not None else len(found[0])
+        none = lambda kinds: [pa.nulls(size, t) for t in kinds]
+        left = found or none([pa.int64(), pa.int64(), pa.float64()])
+        if not cuts:
+            return pa.RecordBatch.from_arrays(left, ["a", "b", "agreement"])
+        right = none([pa.int32(), *types]) if rows is None else [
+            pa.array(np.full(size, cut, np.int32)), *[rows.column(x).combine_chunks() for x in names]
+        ]
+        return pa.RecordBatch.from_arrays([*left, *right], ["a", "b", "agreement", "cut", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held, size, tail, first = [], 0, None, True
+
+        def flush():
+            nonlocal held, size, tail, first
+            table = pa.Table.from_batches(held).combine_chunks()
+            if first and cuts and part:
+                yield shaped([], part - 1, table.slice(0, NEXT))
+            found, last = pairs(table)
+            yield shaped(found)
+            tail, first = table.take(pa.array(last)).combine_chunks(), False
+            held, size = tail.to_batches(), 0
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                held.append(batch.select(names).slice(at, CHUNK_ROWS))
+                size += held[-1].num_rows
+                if size >= CHUNK_ROWS:
+                    yield from flush()
+        if size:
+            yield from flush()
+        if cuts and tail is not None:
+            yield shaped([], part, tail)
+
+    return run
+
+
+def sorted_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b, agreement) of neighbours in the orders of ``turn``.
+
+    ``rows``: node, sig, trees (a bit for each tree to sort in), family (no pairs within one).
+    """
+    parts = 1 + rows.count() * TREES // ROWS_PER_SORT_PART
+    walked = spool(
+        rows.select("node", "sig", "trees", "family")
+        .mapInArrow(_sort_rows(turn), "tree int, key binary, node long, family long")
+        .repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+        .mapInArrow(_walk(True), f"{_PAIRS}, {_CUTS}"),
+        "walked",
+    )
+    at_cuts = (
+        walked.where("cut IS NOT NULL").select("cut", "tree", "key", "node", "family")
+        .repartition(parts, "cut").sortWithinPartitions("cut", "tree", "key", "node")
+        .mapInArrow(_walk(False), _PAIRS)
+    )
+    return walked.where("a IS NOT NULL").select("a", "b", "agreement").unionByName(at_cuts).groupBy("a", "b").agg(
+        F.max("agreement").alias("agreement")
+    )
+
+
 def _region(tree: Column, depth: int) -> Column:
     """The region of a signature in a tree at a depth."""
     orders = F.array(*[F.array(*map(F.lit, order[:depth])) for order in _orders()])
@@ -183,8 +324,9 @@ def _all_trees() -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of ``nodes`` (node, sig)."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b, agreement), a < b, of ``nodes`` (node, sig), and of regions with more than
+    two nodes the rows (node, region) and the signatures (node, sig)."""
     first = nodes.select("node", "sig", _all_trees()).select(
         "node", _region(F.col("tree"), DEPTHS[0]).alias("region")
     )
@@ -199,7 +341,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     found = None
     # A row per tree, with its regions at all depths in place of the signature.
     rows = dense.select("node", "crowd", "sig", _all_trees()).select(
-        "node", "crowd", F.array(*[_region(F.col("tree"), d) for d in DEPTHS]).alias("regions")
+        "node", "crowd", "tree", F.array(*[_region(F.col("tree"), d) for d in DEPTHS]).alias("regions")
     )
     for level in range(len(DEPTHS)):
         placed = rows.withColumn("region", F.get("regions", F.lit(level)))
@@ -216,16 +358,34 @@ def candidates(nodes: DataFrame) -> DataFrame:
             F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
         )
         found = pairs if found is None else found.unionByName(pairs)
-        rows = inside.where("members > 2").select("node", "crowd", "regions")
+        rows = inside.where("members > 2").select("node", "crowd", "tree", "regions")
+        if level == 0:
+            places = inside.where("members > 2").select("node", "tree", "region")
     sig = dense.select("node", "sig")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    least = THRESHOLD - MARGIN * (THRESHOLD * (1 - THRESHOLD) / VALUES) ** 0.5
-    return (
+    known = (
         found.distinct()
         .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
         .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         .select("a", "b", (same / F.lit(float(VALUES))).alias("agreement"))
-        .where(F.col("agreement") >= least)
+        .where(F.col("agreement") >= _least_agreement())
+    )
+    trees = places.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("trees"))
+    several = spool(trees.join(sig, "node"), "several")
+    near = sorted_pairs(several.withColumn("family", F.col("node")), 0)
+    pairs = known.unionByName(near).groupBy("a", "b").agg(F.max("agreement").alias("agreement"))
+    return pairs, places.select("node", "region"), several.select("node", "sig")
+
+
+def _apart(places: DataFrame, signed: DataFrame, reached: DataFrame, turn: int) -> DataFrame:
+    """Candidates of the orders of ``turn`` between components that meet in a region."""
+    rooted = places.join(reached, "node", "left").select(
+        "node", "region", F.coalesce("root", "node").alias("family")
+    )
+    mixed = rooted.groupBy("region").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y")
+    left = spool(rooted.join(mixed, "region").select("node", "family").distinct(), "left")
+    return sorted_pairs(
+        left.join(signed, "node").withColumn("trees", F.lit((1 << TREES) - 1)), turn
     )
 
 
@@ -259,22 +419,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ),
         "nodes",
     )
-    pairs = spool(candidates(nodes.select("node", "sig")), "candidates")
-    # One document holds each set; its text is read again for the sets that pairs need.
-    needed = spool(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        .join(nodes.select("node", "holder"), "node")
-        .select("node", F.col("holder.id").alias("_id"), F.col("holder.print").alias("_print")),
-        "needed",
-    )
+    pairs, places, signed = candidates(nodes.select("node", "sig"))
+    pairs = spool(pairs, "candidates")
     texts = docs.select(
         F.col(id_col).alias("_id"), printed.alias("_print"), F.col(text_col).alias("text")
     )
-    held = likely_in(texts, F.col("_print"), needed, F.col("_print")).alias("t").join(
-        needed.alias("n"),
-        (F.col("t._print") == F.col("n._print")) & F.col("t._id").eqNullSafe(F.col("n._id")),
-    ).select("n.node", "t.text")
-    sets = spool(_full_sets(held).dropDuplicates(["node"]), "sets")
+
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        # One document holds each set; its text is read again for the sets that pairs need.
+        needed = spool(
+            pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            .join(nodes.select("node", "holder"), "node")
+            .select("node", F.col("holder.id").alias("_id"), F.col("holder.print").alias("_print")),
+            "needed",
+        )
+        held = likely_in(texts, F.col("_print"), needed, F.col("_print")).alias("t").join(
+            needed.alias("n"),
+            (F.col("t._print") == F.col("n._print")) & F.col("t._id").eqNullSafe(F.col("n._id")),
+        ).select("n.node", "t.text")
+        return spool(_full_sets(held).dropDuplicates(["node"]), "sets")
+
+    sets = sets_of(pairs)
     best = pairs.select(F.col("a").alias("node"), "*").unionByName(
         pairs.select(F.col("b").alias("node"), "*")
     ).groupBy("node").agg(F.max(F.struct("agreement", "a", "b")).alias("p"))
@@ -287,7 +452,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     more = spool(_confirmed(apart, sets), "links")
     if more.head(1):
-        reached = components(links.unionByName(more))
+        links = links.unionByName(more)
+        reached = components(links)
+    turn = 1
+    while True:
+        fresh = spool(_apart(places, signed, reached, turn), "candidates")
+        if not fresh.head(1):
+            break
+        more = spool(_confirmed(fresh, sets_of(fresh)), "links")
+        if not more.head(1):
+            break
+        links = links.unionByName(more)
+        reached = components(links)
+        turn += 1
     placed = nodes.select("node", "id").join(reached, "node", "left").select(
         "node", "id", F.coalesce("root", "node").alias("component")
     )

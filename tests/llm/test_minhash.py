@@ -109,3 +109,46 @@ def test_components_of_long_chains_and_stars(spark):
     want = {x: min(ids[:151]) for x in ids[:151]} | {x: min(ids[200:300]) for x in ids[200:300]}
     want |= {ids[301]: min(ids[301:303]), ids[302]: min(ids[301:303])}
     assert got == want
+
+
+def family(rng, copies, edits, size=200):
+    """Copies of a template that is not there, each with ``edits`` words changed, and their components."""
+    base = words(rng, size)
+    texts, missing = [], np.zeros((copies, size - 4), bool)
+    for i in range(copies):
+        copy = list(base)
+        for at in rng.sample(range(size), rng.choice(edits)):
+            copy[at] = f"x{i}y{at}"
+            missing[i, max(0, at - 4) : at + 1] = True
+        texts.append(" ".join(copy))
+    both = (~missing).astype(int) @ (~missing).T.astype(int)
+    near = 100 * both >= 75 * (2 * (size - 4) - both)
+    least = np.arange(copies)
+    while True:
+        now = np.where(near, least[None, :], copies).min(axis=1)
+        if (now == least).all():
+            return texts, least.tolist()
+        least = now
+
+
+def test_family_without_its_template(spark):
+    texts, want = family(random.Random(21), 2000, [4])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(minhash.near_duplicates(df).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(want))] == want
+
+
+def test_sorted_neighbours_over_cuts(spark, monkeypatch):
+    """Partitions of a few rows compare the same pairs as one partition."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 31, minhash.VALUES, dtype=np.int64)
+    sig = np.where(rng.random((60, minhash.VALUES)) < 0.2, rng.integers(0, 1 << 31, (60, minhash.VALUES)), base)
+    rows = spark.createDataFrame(
+        [(i, s, (1 << minhash.TREES) - 1, i // 3) for i, s in enumerate(sig.tolist())],
+        "node long, sig array<int>, trees int, family long",
+    )
+    whole = sorted(map(tuple, minhash.sorted_pairs(rows, 0).select("a", "b").collect()))
+    monkeypatch.setattr(minhash, "ROWS_PER_SORT_PART", 100)
+    cut = sorted(map(tuple, minhash.sorted_pairs(rows, 0).select("a", "b").collect()))
+    assert whole and set(whole) <= set(cut)
+    assert all(a // 3 != b // 3 for a, b in cut)
