@@ -10,11 +10,10 @@ over all trees. A template and its many copies meet through the hub, two copies
 strangers meet in the region that holds them alone. Regions are grouped aggregates and
 equi-joins; nothing collects a region.
 
-Regions with more than two documents have other pairs as well. There each document is
-also compared with the next ``NEXT`` of the tree's full order, those with the longest
-common prefixes. What is left are regions that hold several components: their documents
-are sorted again in new orders and compared with the next ones of other components, until
-a round confirms no link. Sorts are range sorts; what lies on both sides of a cut between
+Regions with more than two documents have other pairs as well. Those that still hold
+several components when these candidates are linked are sorted: each document is compared
+with the next ``NEXT`` of other components in the tree's full order, those with the longest
+common prefixes. This goes on in new orders until one of them confirms no link. Sorts are range sorts; what lies on both sides of a cut between
 two partitions is compared after them.
 
 Documents with equal sets are one node from the start. Candidates whose signatures
@@ -326,7 +325,7 @@ def _all_trees() -> Column:
 
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b, agreement), a < b, of ``nodes`` (node, sig), and of regions with more than
-    two nodes the rows (node, region) and the signatures (node, sig)."""
+    two nodes the rows (node, tree, region), and the signatures (node, sig)."""
     first = nodes.select("node", "sig", _all_trees()).select(
         "node", _region(F.col("tree"), DEPTHS[0]).alias("region")
     )
@@ -363,30 +362,27 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             places = inside.where("members > 2").select("node", "tree", "region")
     sig = dense.select("node", "sig")
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    known = (
+    pairs = (
         found.distinct()
         .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
         .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         .select("a", "b", (same / F.lit(float(VALUES))).alias("agreement"))
         .where(F.col("agreement") >= _least_agreement())
     )
-    trees = places.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1, tree)")).alias("trees"))
-    several = spool(trees.join(sig, "node"), "several")
-    near = sorted_pairs(several.withColumn("family", F.col("node")), 0)
-    pairs = known.unionByName(near).groupBy("a", "b").agg(F.max("agreement").alias("agreement"))
-    return pairs, places.select("node", "region"), several.select("node", "sig")
+    return pairs, places, sig
 
 
 def _apart(places: DataFrame, signed: DataFrame, reached: DataFrame, turn: int) -> DataFrame:
     """Candidates of the orders of ``turn`` between components that meet in a region."""
     rooted = places.join(reached, "node", "left").select(
-        "node", "region", F.coalesce("root", "node").alias("family")
+        "node", "tree", "region", F.coalesce("root", "node").alias("family")
     )
     mixed = rooted.groupBy("region").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y")
-    left = spool(rooted.join(mixed, "region").select("node", "family").distinct(), "left")
-    return sorted_pairs(
-        left.join(signed, "node").withColumn("trees", F.lit((1 << TREES) - 1)), turn
+    trees = F.bit_or(F.expr("shiftleft(1, tree)")) if not turn else F.lit((1 << TREES) - 1)
+    left = rooted.join(mixed, "region").groupBy("node").agg(
+        F.min("family").alias("family"), trees.cast("int").alias("trees")
     )
+    return sorted_pairs(spool(left.join(signed, "node"), "left"), turn)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -454,13 +450,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if more.head(1):
         links = links.unionByName(more)
         reached = components(links)
-    turn = 1
+    turn = 0
     while True:
         fresh = spool(_apart(places, signed, reached, turn), "candidates")
-        if not fresh.head(1):
-            break
-        more = spool(_confirmed(fresh, sets_of(fresh)), "links")
-        if not more.head(1):
+        more = spool(_confirmed(fresh, sets_of(fresh)), "links") if fresh.head(1) else None
+        if more is None or not more.head(1):
             break
         links = links.unionByName(more)
         reached = components(links)
