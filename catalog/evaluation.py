@@ -28,7 +28,8 @@ from catalog.fixtures import (
     table,
 )
 from catalog.registry import query
-from labelwright.models import classifier
+from catalog.training import sql_cells, sql_evaluated, sql_hinge, sql_result
+from labelwright.models import classifier, linear
 from labelwright.operators import assembly, metrics
 from labelwright.plans import comparison, out_of_domain
 from labelwright.session import scratch_path
@@ -115,12 +116,17 @@ def _(spark, sf_dir):
     train, _ = halves(spark, sf_dir)
     model = classifier.train_text_classifier(train, "doc_id", **BINARY)
     return spark.createDataFrame(
-        list(zip(model.stages[1].vocabulary, map(float, model.stages[3].getScalingVec()))),
+        list(zip(model.stages[1].vocabulary, model.stages[2].getOrDefault("idf"))),
         "term string, idf double",
     ).withColumn("idf", F.round("idf", 6))
 
 
-@query("predict")
+HALVES = f"""{LABELLED}, half_docs AS (SELECT doc_id AS d, text, rating, {sql_h('half')} < 0.7 AS fitted FROM labelled)"""
+
+
+@query("predict", f"""WITH RECURSIVE {HALVES}, {sql_hinge('half_')}
+  SELECT d AS doc_id, rating, CASE WHEN s > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prediction
+  FROM half_scores JOIN half_docs USING (d) WHERE NOT fitted""")
 def _(spark, sf_dir):
     train, test = halves(spark, sf_dir)
     model = classifier.train_text_classifier(train, "doc_id", **BINARY)
@@ -141,14 +147,61 @@ def _(spark, sf_dir):
     )
 
 
-@query("evaluate")
+@query("decision_scores", f"""WITH RECURSIVE {HALVES}, {sql_hinge('half_')}
+  SELECT d AS doc_id, class, round(CASE class WHEN 1 THEN s ELSE -s END, 3) AS score
+  FROM half_scores JOIN half_docs USING (d), (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) c(class) WHERE NOT fitted""")
+def _(spark, sf_dir):
+    """Every class's score as a join of TF-IDF rows with the model's table of weights."""
+    train, test = halves(spark, sf_dir)
+    model = classifier.train_text_classifier(train, "doc_id", tolerance=1e-9, **BINARY)
+    weighted = classifier.weighted_terms(model, test, "doc_id")
+    scores = linear.relational_scores(weighted, classifier.weights_table(model, spark, QUALITY), test, "doc_id")
+    return scores.withColumn("score", F.round("score", 3))
+
+
+@query("optimality", f"""WITH RECURSIVE {HALVES}, {sql_hinge('half_')},
+  m AS (SELECT s, CASE rating WHEN 1 THEN 1 ELSE -1 END AS y FROM half_scores JOIN half_docs USING (d) WHERE fitted)
+  SELECT class, TRUE AS at_optimum, round(sum(greatest(0, 1 - y * s) ** 2), 3) AS loss
+  FROM m, (VALUES (0.0::DOUBLE), (1.0::DOUBLE)) c(class) GROUP BY class""")
+def _(spark, sf_dir):
+    """The gradient at the fitted weights, from tables: below 1e-4 for each class; and the loss there."""
+    train, _ = halves(spark, sf_dir)
+    model = classifier.train_text_classifier(train, "doc_id", **BINARY)
+    weighted, weights = classifier.weighted_terms(model, train, "doc_id"), classifier.weights_table(model, spark, QUALITY)
+    norms = linear.hinge_certificate(weighted, train, weights, "doc_id", "rating", 1.0)
+    sign = F.when(F.col("rating") == F.col("class"), 1.0).otherwise(-1.0)
+    short = F.greatest(F.lit(0.0), 1.0 - sign * F.col("score"))
+    losses = linear.relational_scores(weighted, weights, train, "doc_id").join(train, "doc_id").groupBy("class").agg(
+        F.round(F.sum(short * short), 3).alias("loss")
+    )
+    return norms.join(losses, "class").select("class", (F.col("gradient_norm") < 1e-4).alias("at_optimum"), "loss")
+
+
+@query("evaluate", f"""WITH RECURSIVE {HALVES}, {sql_evaluated('half_')} {sql_result('half_', 'all rows', QUALITY)}""")
 def _(spark, sf_dir):
     train, test = halves(spark, sf_dir)
     row, _ = classifier.evaluate("all rows", train, test, "doc_id", **BINARY)
     return row
 
 
-@query("compare_variants")
+COMPARED = f"""{LABELLED}, noisy AS (SELECT doc_id, text, CASE WHEN {sql_h('flip')} < 0.2 THEN 1 - rating ELSE rating END AS rating FROM labelled),
+  test AS (SELECT * FROM (SELECT * FROM labelled QUALIFY row_number() OVER (PARTITION BY rating ORDER BY {sql_digest('42')}, doc_id) <= 20)
+    QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
+  v0 AS (SELECT * FROM noisy WHERE text NOT IN (SELECT text FROM test)),
+  v1 AS (SELECT * FROM v0 QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
+  v3 AS (SELECT * FROM labelled WHERE text NOT IN (SELECT text FROM test)
+    QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
+  target AS (SELECT rating, count(*) AS n FROM v3 GROUP BY rating),
+  v2 AS (SELECT v1.* FROM v1 JOIN target t ON t.rating = v1.rating
+    QUALIFY row_number() OVER (PARTITION BY v1.rating ORDER BY {sql_digest('42', 'v1.doc_id')}, v1.doc_id)
+      <= max(t.n) OVER (PARTITION BY v1.rating)), """ + ", ".join(
+    f"""v{k}_docs AS (SELECT doc_id AS d, text, rating, TRUE AS fitted FROM v{k} UNION ALL SELECT doc_id, text, rating, FALSE FROM test),
+  {sql_evaluated(f'v{k}_')}""" for k in range(4)
+)
+
+
+@query("compare_variants", f"WITH RECURSIVE {COMPARED} " + " UNION ALL ".join(
+    sql_result(f"v{k}_", name, QUALITY) for k, name in enumerate(comparison.VARIANTS)))
 def _(spark, sf_dir):
     """Four training sets, one test set: raw, deduplicated, matched, corrected."""
     raw = labelled(spark, sf_dir)
@@ -159,7 +212,8 @@ def _(spark, sf_dir):
     return comparison.compare_variants(variants, test, "doc_id", **BINARY)
 
 
-@query("evaluate_ood")
+@query("evaluate_ood", f"""WITH RECURSIVE {LABELLED}, en_docs AS (SELECT l.doc_id AS d, l.text, rating, lang = 'en' AS fitted
+    FROM labelled l JOIN documents USING (doc_id) WHERE lang IS NOT NULL), {sql_hinge('en_')}, {sql_cells('en_')} SELECT * FROM en_cells""")
 def _(spark, sf_dir):
     """A model trained on English documents, scored on the other languages."""
     lang = table(spark, sf_dir, "documents").select("doc_id", "lang")

@@ -224,17 +224,24 @@ PREDICTIONS = f"""{REVIEWS}, predictions AS (
   SELECT doc_id, rating, CASE WHEN {sql_h('e')} < 0.7 THEN rating
     ELSE (1 + floor({sql_h('f')} * 5))::DOUBLE END AS prediction FROM reviews)"""
 
-SCORES = f"""{PREDICTIONS}, cells AS (
-  SELECT rating AS actual, prediction AS predicted, count(*) AS n FROM predictions GROUP BY ALL),
-  sides AS (SELECT actual AS class, n AS support, 0 AS pn,
-      CASE WHEN actual = predicted THEN n ELSE 0 END AS hits FROM cells
-    UNION ALL SELECT predicted, 0, n, 0 FROM cells),
-  sums AS (SELECT class, sum(support)::BIGINT AS support, sum(pn)::BIGINT AS pn, sum(hits)::BIGINT AS hits
-    FROM sides GROUP BY class),
-  scores AS (SELECT class, support, hits,
+
+
+def sql_class_scores(p: str = "") -> str:
+    """From ``{p}cells`` (actual, predicted, n) to ``{p}scores``, a row per class."""
+    return f"""{p}sides AS (SELECT actual AS class, n AS support, 0 AS pn,
+      CASE WHEN actual = predicted THEN n ELSE 0 END AS hits FROM {p}cells
+    UNION ALL SELECT predicted, 0, n, 0 FROM {p}cells),
+  {p}sums AS (SELECT class, sum(support)::BIGINT AS support, sum(pn)::BIGINT AS pn, sum(hits)::BIGINT AS hits
+    FROM {p}sides GROUP BY class),
+  {p}by_class AS (SELECT class, support, hits,
       CASE WHEN pn = 0 THEN 0 ELSE hits::DOUBLE / pn END AS precision,
       CASE WHEN support = 0 THEN 0 ELSE hits::DOUBLE / support END AS recall,
-      CASE WHEN support + pn = 0 THEN 0 ELSE 2.0::DOUBLE * hits / (support + pn) END AS f1 FROM sums)"""
+      CASE WHEN support + pn = 0 THEN 0 ELSE 2.0::DOUBLE * hits / (support + pn) END AS f1 FROM {p}sums)"""
+
+
+SCORES = f"""{PREDICTIONS}, cells AS (
+  SELECT rating AS actual, prediction AS predicted, count(*) AS n FROM predictions GROUP BY ALL),
+  {sql_class_scores()}, scores AS (SELECT * FROM by_class)"""
 
 
 # -- metadata ----------------------------------------------------------------------

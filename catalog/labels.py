@@ -27,6 +27,7 @@ from catalog.fixtures import (
     table,
 )
 from catalog.registry import query
+from catalog.training import sql_logistic
 from labelwright.functions.text import bigrams, tokenize
 from labelwright.models.folds import assign_folds, oof_probabilities
 from labelwright.operators import confident, features, relabel
@@ -105,17 +106,16 @@ def _(spark, sf_dir):
     return assign_folds(labelled(spark, sf_dir), "doc_id").select("doc_id", "rating", "fold")
 
 
-@query("oof_probabilities", f"""WITH {LABELLED} SELECT doc_id, rating,
-  (ntile(5) OVER (PARTITION BY rating ORDER BY {sql_digest('42')}, doc_id) - 1)::INT AS fold, 2::INT AS n_p,
-  1::DOUBLE AS p_sum FROM labelled""")
+@query("oof_probabilities", f"""WITH RECURSIVE {LABELLED}, oof_docs AS (SELECT doc_id AS d, text, rating, TRUE AS fitted,
+    (ntile(5) OVER (PARTITION BY rating ORDER BY {sql_digest('42')}, doc_id) - 1)::INT AS fold FROM labelled),
+  {sql_logistic('oof_')}
+  SELECT d AS doc_id, rating, fold, 2::INT AS n_p, 1::DOUBLE AS p_sum, round(1 / (1 + exp(-s)), 4) AS p_good
+  FROM oof_scores JOIN oof_docs USING (d)""")
 def _(spark, sf_dir):
-    """Every labelled document scored once, in its fold, by probabilities that sum to one.
-
-    The probabilities themselves are the solver's; tests hold them to its optimum.
-    """
-    scored = oof_probabilities(labelled(spark, sf_dir), "doc_id", classes=(0.0, 1.0))
+    """Every labelled document scored once, by the model of the other folds."""
+    scored = oof_probabilities(labelled(spark, sf_dir), "doc_id", classes=(0.0, 1.0), tolerance=1e-10)
     return scored.select("doc_id", "rating", "fold", F.size("p").alias("n_p"),
-                         F.round(F.col("p")[0] + F.col("p")[1], 6).alias("p_sum"))
+                         F.round(F.col("p")[0] + F.col("p")[1], 6).alias("p_sum"), F.round(F.col("p")[1], 4).alias("p_good"))
 
 
 @query("detect_noise", f"""WITH {LABELLED} SELECT doc_id, rating, true AS scored FROM labelled""")

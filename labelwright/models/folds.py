@@ -4,20 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from labelwright import DOMAIN, SEED
-from labelwright.models.stages import (
-    WORKING_COLUMNS,
-    TfidfVectorizer,
-    gather_for_fit,
-    spread_small,
-)
+from labelwright.models.linear import LOGISTIC, TOLERANCE, Shape, fit, pack, probabilities
+from labelwright.models.stages import WORKING_COLUMNS, TfidfVectorizer, spread_small
 from labelwright.operators.confident import label_encode
 from labelwright.operators.features import MAX_FEATURES, MIN_DOCS
 from labelwright.operators.position import seeded_position
@@ -55,24 +47,6 @@ def assign_folds(
     return placed.withColumn(out, fold.cast("int")).drop("_at")
 
 
-def logistic_regression(
-    label_col: str, n_train: int, inverse_penalty: float, max_iter: int
-) -> LogisticRegression:
-    """Minimises |w|^2 / 2 + inverse_penalty * sum(log loss), intercept free.
-
-    Spark divides that by the penalty and the row count. Two classes are fitted
-    with one weight vector, more with one per class.
-    """
-    return LogisticRegression(
-        labelCol=label_col,
-        family="auto",
-        regParam=1.0 / (inverse_penalty * max(n_train, 1)),
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-    )
-
-
 def oof_probabilities(
     df: DataFrame,
     id_col: str,
@@ -86,6 +60,7 @@ def oof_probabilities(
     min_docs: int = MIN_DOCS,
     seed: str = SEED,
     others: DataFrame | None = None,
+    tolerance: float = TOLERANCE,
 ) -> DataFrame:
     """Each row scored by models that did not see it: label_index, fold, p.
 
@@ -93,9 +68,10 @@ def oof_probabilities(
     them, so their p is the mean over the models of all folds and their fold is null.
     Rows whose label is none of ``classes`` are left out.
 
-    The vectoriser is fitted on all rows, the logistic regressions on the other
-    folds. The features and the result are written once each; the fits read the
-    features by fold, and nothing later repeats a fit.
+    The vectoriser is fitted on all rows, the logistic regressions on the other folds:
+    |w|^2/2 + C * sum of log losses, intercept free, to ``tolerance``. Features and result
+    are written once each. Every pass over the stored features takes the gradients of all
+    folds, and nothing later repeats a fit.
     """
     vectorizer = TfidfVectorizer(id_col, text_col, 1, max_features, min_docs)
     placed = spool(
@@ -115,53 +91,33 @@ def oof_probabilities(
         .drop(*WORKING_COLUMNS),
         "features",
     )
-    index = F.col("label_index").cast("double")
-    named = index.alias(
-        "_target",
-        metadata={"ml_attr": {"type": "nominal", "vals": [str(value) for value in classes]}},
+    # Folds are numbered from 0; a model is trained on every fold but its own.
+    numbers = sorted(row.fold for row in features.select("fold").distinct().collect())
+    others_of = F.filter(F.lit(numbers), lambda fold: fold != F.col("fold"))
+    trained = features.select(
+        "features", F.col("label_index").alias("target"),
+        F.transform(others_of, lambda fold: F.array_position(F.lit(numbers), fold).cast("int") - 1).alias("models"),
     )
-    sizes = {
-        row.fold: row.n
-        for row in features.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()
-    }
-
-    def fit(fold: int):
-        train = gather_for_fit(
-            features.filter(F.col("fold") != fold).select("features", named), n_rows
-        )
-        n_train = sum(n for other, n in sizes.items() if other != fold)
-        return logistic_regression("_target", n_train, inverse_penalty, max_iter).fit(train)
-
-    # The fits are independent: their jobs share the cluster.
-    with ThreadPool(max(len(sizes), 1)) as pool:
-        models = pool.map(inheritable_thread_target(df.sparkSession)(fit), sorted(sizes))
-    scored = [
-        model.transform(features.filter(F.col("fold") == fold)).select(
-            *df.columns, "fold", "label_index", vector_to_array("probability").alias("p")
-        )
-        for fold, model in zip(sorted(sizes), models)
-    ]
+    shape = Shape(
+        LOGISTIC, max(len(numbers), 1), len(classes), len(vectors.stages[1].vocabulary), inverse_penalty
+    )
+    weights, _ = fit(pack(trained, shape.n_models), shape, max_iter, tolerance)
+    models = [weights[:, at:at + shape.outputs] for at in range(0, weights.shape[1], shape.outputs)]
+    own = reduce(
+        lambda chain, at: chain.when(
+            F.col("fold") == numbers[at], probabilities(F.col("features"), models[at], len(classes))
+        ),
+        range(len(numbers)), F.when(F.lit(False), F.lit(None)),
+    )
+    scored = features.select(*df.columns, "fold", "label_index", own.alias("p"))
     if others is not None:
-        scored.append(
-            _mean_scored(
-                vectors.transform(others)
-                .withColumn("label_index", label_encode(classes, F.col(label_col)))
-                .filter(F.col("label_index").isNotNull()),
-                models,
-            ).select(*df.columns, F.lit(None).cast("int").alias("fold"), "label_index", "p")
+        unseen = vectors.transform(others).withColumn("label_index", label_encode(classes, F.col(label_col)))
+        each = [probabilities(F.col("features"), model, len(classes)) for model in models]
+        total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), each)
+        scored = scored.unionByName(
+            unseen.filter(F.col("label_index").isNotNull()).select(
+                *df.columns, F.lit(None).cast("int").alias("fold"), "label_index",
+                F.transform(total, lambda x: x / F.lit(float(len(models)))).alias("p"),
+            )
         )
-    return spool(reduce(DataFrame.unionByName, scored), "out_of_fold")
-
-
-def _mean_scored(features: DataFrame, models: Sequence) -> DataFrame:
-    """``features`` with p, the mean of the models' probabilities."""
-    parts = []
-    for number, model in enumerate(models):
-        names = {kind: f"_{kind}{number}" for kind in ("probability", "raw", "prediction")}
-        model = model.copy()
-        model.setProbabilityCol(names["probability"]).setPredictionCol(names["prediction"])
-        model.setRawPredictionCol(names["raw"])
-        features = model.transform(features).drop(names["raw"], names["prediction"])
-        parts.append(vector_to_array(names["probability"]))
-    total = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
-    return features.withColumn("p", F.transform(total, lambda x: x / F.lit(float(len(models)))))
+    return spool(scored, "out_of_fold")

@@ -7,16 +7,15 @@ and loaded with the pipeline.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from labelwright.functions.text import ngrams, tokenize
+from labelwright.models.linear import doubles, score
 from labelwright.operators.features import (
     MAX_FEATURES,
     MIN_DOCS,
@@ -50,22 +49,63 @@ class TermSplitter(
         )
 
 
-class SublinearCounts(
+class SublinearTfidf(
     Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
 ):
-    """Replace each count by 1 + ln(count); Spark ML has no such stage."""
+    """Term counts -> (1 + ln count) * idf at unit length, as sparse (indices, values).
 
-    def __init__(self, inputCol: str = "counts", outputCol: str = "damped"):
+    Spark ML has no stage that takes logarithms of counts. The count vector is opened as
+    the struct it is stored as, so the weights are column expressions.
+    """
+
+    idf = Param(Params._dummy(), "idf", "weight of each term", TypeConverters.toListFloat)
+
+    def __init__(self, inputCol: str = "counts", outputCol: str = "features", idf: list[float] | None = None):
         super().__init__()
-        self._set(inputCol=inputCol, outputCol=outputCol)
+        self._set(inputCol=inputCol, outputCol=outputCol, idf=idf)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        damp = F.udf(_damp, VectorUDT())
-        return df.withColumn(self.getOutputCol(), damp(F.col(self.getInputCol())))
+        idf = doubles(self.getOrDefault(self.idf))
+        counts = F.unwrap_udt(F.col(self.getInputCol()))
+        raw = F.zip_with(
+            counts["indices"], counts["values"], lambda at, n: (F.lit(1.0) + F.log(n)) * F.get(idf, at)
+        )
+        length = lambda values: F.sqrt(F.aggregate(values, F.lit(0.0), lambda t, x: t + x * x))
+        # One element, so that the length is taken once per row and not once per term.
+        unit = F.transform(
+            F.array(F.struct(raw.alias("raw"), length(raw).alias("length"))),
+            lambda row: F.transform(row["raw"], lambda x: x / row["length"]),
+        )[0]
+        return df.withColumn(
+            self.getOutputCol(), F.struct(counts["indices"].alias("indices"), unit.alias("values"))
+        )
 
 
-def _damp(counts):
-    return SparseVector(counts.size, counts.indices, 1.0 + np.log(counts.values))
+class LinearClassifier(
+    Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
+):
+    """Sparse features -> index of the class with the largest score, the first of equal ones."""
+
+    weights = Param(Params._dummy(), "weights", "class after class, its intercept last", TypeConverters.toListFloat)
+    n_classes = Param(Params._dummy(), "n_classes", "number of classes", TypeConverters.toInt)
+
+    def __init__(
+        self, inputCol: str = "features", outputCol: str = "_predicted",
+        weights: list[float] | None = None, n_classes: int = 0,
+    ):
+        super().__init__()
+        self._set(inputCol=inputCol, outputCol=outputCol, weights=weights, n_classes=n_classes)
+
+    def by_class(self) -> list[list[float]]:
+        flat, n = self.getOrDefault(self.weights), self.getOrDefault(self.n_classes)
+        width = len(flat) // n
+        return [flat[k * width:(k + 1) * width] for k in range(n)]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        features = F.col(self.getInputCol())
+        scores = F.array(*[score(features, weights) for weights in self.by_class()])
+        best = F.transform(F.array(scores), lambda s: F.array_position(s, F.array_max(s)))[0]
+        return df.withColumn(self.getOutputCol(), (best - 1).cast("double"))
 
 
 class TfidfVectorizer(Estimator):
@@ -102,19 +142,12 @@ class TfidfVectorizer(Estimator):
             [
                 TermSplitter(self.text_col, "terms", self.n_max),
                 counter,
-                SublinearCounts("counts", "damped"),
-                ElementwiseProduct(
-                    scalingVec=Vectors.dense([row.idf for row in rows]),
-                    inputCol="damped",
-                    outputCol="weighted",
-                ),
-                Normalizer(p=2.0, inputCol="weighted", outputCol=self.output_col),
+                SublinearTfidf("counts", self.output_col, [row.idf for row in rows]),
             ]
         )
 
 
 SMALL_TABLE_ROWS = 1_000_000
-FIT_PARTITION_ROWS = 20_000
 
 
 def spread_small(df: DataFrame, id_col: str, n_rows: int) -> DataFrame:
@@ -127,9 +160,4 @@ def spread_small(df: DataFrame, id_col: str, n_rows: int) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, id_col)
 
 
-def gather_for_fit(features: DataFrame, n_rows: int) -> DataFrame:
-    """Read stored features in partitions worth a task of an iterative fit."""
-    return features.coalesce(max(1, -(-n_rows // FIT_PARTITION_ROWS)))
-
-
-WORKING_COLUMNS = ("terms", "counts", "damped", "weighted")
+WORKING_COLUMNS = ("terms", "counts")

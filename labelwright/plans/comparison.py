@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, functions as F
 
 from labelwright import DOMAIN, SEED
-from labelwright.models.classifier import evaluate
+from labelwright.models.classifier import evaluate_all
 from labelwright.operators.dedup import dedup_text, dedup_text_label
 from labelwright.operators.joins import remove_leakage
 from labelwright.operators.metrics import effect_decomposition
@@ -102,21 +100,12 @@ def compare_variants(
 ) -> DataFrame:
     """One result row per variant; the model of the last one is saved.
 
-    The variants are trained side by side, each fit on the whole cluster.
+    All variants are trained by the same passes over their stored features.
     """
-    shared_test = spool(test, "test_set")
-    last = list(variants)[-1]
-
-    def result(name: str) -> DataFrame:
-        row, _ = evaluate(
-            name, variants[name], shared_test, id_col, text_col, label_col, classes,
-            model_path if name == last else None, **training,
-        )
-        return row
-
-    with ThreadPool(len(variants)) as pool:
-        rows = pool.map(inheritable_thread_target(test.sparkSession)(result), list(variants))
-    return spool(reduce(DataFrame.unionByName, rows), "comparison")
+    results = evaluate_all(
+        variants, spool(test, "test_set"), id_col, text_col, label_col, classes, model_path, **training
+    )
+    return spool(reduce(DataFrame.unionByName, [row for row, _ in results.values()]), "comparison")
 
 
 def effects(results: DataFrame) -> DataFrame:

@@ -6,10 +6,9 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from labelwright.models import classifier, folds
+from labelwright.models import classifier, folds, linear
 from labelwright.models.stages import TfidfVectorizer
 from labelwright.operators import features, metrics
 from labelwright.plans import comparison
@@ -38,7 +37,7 @@ def test_vectors_equal_the_relational_weights(reviews, n_max):
     model = TfidfVectorizer("id", n_max=n_max, max_features=50).fit(reviews)
     terms = model.stages[1].vocabulary
     vectors = {
-        r.id: {terms[i]: v for i, v in zip(r.features.indices.tolist(), r.features.values.tolist())}
+        r.id: {terms[i]: v for i, v in zip(r.features["indices"], r.features["values"])}
         for r in model.transform(reviews).collect()
     }
     table = {}
@@ -77,28 +76,80 @@ def test_folds_of_a_tiny_class(spark):
     assert sorted(r.fold for r in folds.assign_folds(df, "id").collect()) == [0, 1, 2]
 
 
-@pytest.mark.parametrize("n_classes", [2, 3])
-def test_logistic_regression_reaches_its_optimum(spark, n_classes):
-    """The gradient of |w|^2 / 2 + C * sum(log loss) vanishes at the fit."""
-    source = np.random.default_rng(5)
-    x = source.normal(size=(90, 4))
-    y = (np.abs(x[:, 0] * 2 + source.normal(size=90)) % n_classes).astype(int)
-    df = spark.createDataFrame(
-        [(float(label), Vectors.dense(row)) for label, row in zip(y, x)], ["_target", "features"]
-    )
-    penalty = 0.5
-    model = folds.logistic_regression("_target", 90, penalty, 1000).setTol(1e-10).fit(df)
-    scores = x @ model.coefficientMatrix.toArray().T + model.interceptVector.toArray()
-    if n_classes == 2:
-        p = 1 / (1 + np.exp(-scores[:, 0]))
-        gradient = penalty * x.T @ (p - y) + model.coefficients.toArray()
-        free = (p - y).sum()
-    else:
-        p = np.exp(scores - scores.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        gradient = penalty * (p - np.eye(n_classes)[y]).T @ x + model.coefficientMatrix.toArray()
-        free = (p - np.eye(n_classes)[y]).sum(axis=0)
-    assert np.abs(gradient).max() < 1e-3 and np.abs(free).max() < 1e-3
+def _dense(seed, n, d, n_classes):
+    source = np.random.default_rng(seed)
+    x = source.normal(size=(n, d)) * (source.random((n, d)) < 0.6)
+    y = (np.abs(x[:, 0] * 2 + source.normal(size=n)) % n_classes).astype(int)
+    return x, y
+
+
+def _packed(spark, x, y, members):
+    rows = [
+        ((np.flatnonzero(row).tolist(), row[np.flatnonzero(row)].tolist()), int(label), models)
+        for row, label, models in zip(x, y, members)
+    ]
+    schema = "features struct<indices:array<int>,values:array<double>>, target int, models array<int>"
+    return linear.pack(spark.createDataFrame(rows, schema).repartition(5), 1 + max(map(max, members)))
+
+
+@pytest.mark.parametrize("loss, n_classes", [("logistic", 2), ("logistic", 3), ("hinge", 3)])
+def test_all_models_reach_their_optimum_in_shared_passes(spark, monkeypatch, loss, n_classes):
+    """The gradient of each model's objective vanishes at its fit, on its own rows."""
+    monkeypatch.setattr(linear, "FAN_IN", 2)
+    monkeypatch.setattr(linear, "BLOCK_ROWS", 16)
+    x, y = _dense(5, 90, 6, n_classes)
+    x[7] = 0.0
+    members = [[m for m in range(3) if i % 3 != m] for i in range(len(x))]
+    shape = linear.Shape(loss, 3, n_classes, 6, 0.5)
+    weights, passes = linear.fit(_packed(spark, x, y, members), shape, 1000, 1e-9)
+    assert passes < 80
+    one = np.hstack([x, np.ones((len(x), 1))])
+    for model in range(3):
+        own = np.array([model in m for m in members])
+        w = weights[:, model * shape.outputs:(model + 1) * shape.outputs]
+        scores, held = one @ w, w.copy()
+        if loss == "hinge":
+            sign = np.where(y[:, None] == np.arange(n_classes), 1, -1)
+            slope = -2 * sign * np.maximum(0, 1 - sign * scores)
+        else:
+            held[-1] = 0
+            if n_classes == 2:
+                slope = 1 / (1 + np.exp(-scores)) - y[:, None]
+            else:
+                p = np.exp(scores - scores.max(axis=1, keepdims=True))
+                slope = p / p.sum(axis=1, keepdims=True) - np.eye(n_classes)[y]
+        assert np.abs(held + 0.5 * one[own].T @ slope[own]).max() < 1e-6
+
+
+def test_squared_hinge_optimum_in_closed_form(spark):
+    """Two rows inside the margin: the optimum solves a 2 x 2 system."""
+    shape = linear.Shape("hinge", 1, 2, 1, 1.0)
+    weights, _ = linear.fit(_packed(spark, np.array([[1.0], [-0.5]]), [1, 0], [[0], [0]]), shape, 100, 1e-12)
+    # (1 + 2 sum x^2) w + 2 sum x b = 2 sum x y, and 2 sum x w + (1 + 2 n) b = 2 sum y.
+    w, b = np.linalg.solve([[3.5, 1.0], [1.0, 5.0]], [3.0, 0.0])
+    assert weights[:, 1] == pytest.approx([w, b]) and weights[:, 0] == pytest.approx([-w, -b])
+
+
+def test_models_run_no_python_by_row(reviews, physical_plan):
+    model = classifier.train_text_classifier(reviews, "id", **TRAINING)
+    assert "Python" not in physical_plan(classifier.predict(model, reviews, CLASSES))
+
+
+def test_relational_scorer_equals_the_pipeline(spark, reviews):
+    empty = spark.createDataFrame([(900, "", 1.0), (901, "zzz qqq", 5.0)], reviews.schema)
+    rows = reviews.union(empty)
+    model = classifier.train_text_classifier(reviews, "id", **TRAINING)
+    weights = classifier.weights_table(model, spark, CLASSES)
+    scores = linear.relational_scores(classifier.weighted_terms(model, rows, "id"), weights, rows, "id")
+    assert scores.count() == rows.count() * 2
+    relational = {r.id: r.prediction for r in linear.best_class(scores, "id").collect()}
+    assert relational == {r.id: r.prediction for r in classifier.predict(model, rows, CLASSES).collect()}
+
+
+def test_a_class_without_rows_is_never_predicted(reviews):
+    model = classifier.train_text_classifier(reviews, "id", **TRAINING | {"classes": (1.0, 3.0, 5.0)})
+    got = {r.prediction for r in classifier.predict(model, reviews, (1.0, 3.0, 5.0)).collect()}
+    assert got == {1.0, 5.0}
 
 
 def test_noise_is_found(reviews):
