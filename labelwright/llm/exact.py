@@ -36,6 +36,8 @@ STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Else each store sets 4 MB aside for a file of a few hundred bytes.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     # One bound for all stores of an executor, however many partitions it holds.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
@@ -124,25 +126,33 @@ def _has_state(spark: SparkSession, checkpoint: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
-def _false_hits(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Digests under which a row's text differs from the text that stays, byte by byte."""
-    several = state.where("n > 1").select("digest", "keep")
-    held = likely_in(
-        rows.select("digest", "text", "file", "row"), F.xxhash64("digest"), several, F.xxhash64("digest")
+def _false_hits(docs: DataFrame, text_col: str, members: DataFrame) -> DataFrame:
+    """Digests under which a row's text differs from the text that stays, byte by byte.
+
+    ``members``: the rows (file, row, digest, stays) of digests with several rows. Their
+    texts are fetched by locator.
+    """
+    place = docs.metadataColumn("_metadata")
+    texts = docs.select(
+        docs[text_col].alias("text"), place["file_path"].alias("file"), place["row_index"].alias("row")
     )
-    staying = held.alias("d").join(
-        several.alias("s"),
-        (F.col("d.digest") == F.col("s.digest"))
-        & (F.col("d.file") == F.col("s.keep.file")) & (F.col("d.row") == F.col("s.keep.row")),
-    ).select("d.digest", F.col("d.text").alias("kept_text"))
-    return held.join(staying, "digest").where("text <> kept_text").select("digest").distinct()
+    key = F.xxhash64("file", "row")
+    held = (
+        likely_in(texts, key, members, key).join(members, ["file", "row"])
+        .select("digest", "stays", F.translate(F.coalesce("text", F.lit("")), IGNORED, "").alias("text"))
+    )
+    staying = held.where("stays").select("digest", F.col("text").alias("kept_text"))
+    hits = held.where("NOT stays").select("digest", "text")
+    return hits.join(staying, "digest").where("text <> kept_text").select("digest").distinct()
 
 
 def _by_text(rows: DataFrame) -> DataFrame:
     """The result's rows for documents of digests that several texts share."""
     order = F.struct((-F.col("n_points")).alias("shorter"), F.col("id").isNull().alias("no_id"), "id", "file", "row")
     groups = rows.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("keep"))
-    return rows.join(groups, "text")
+    return rows.join(groups, "text").withColumn(
+        "stays", (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
+    )
 
 
 def deduplicate(
@@ -156,18 +166,25 @@ def deduplicate(
     """
     place = checkpoint or scratch_path(spark, "exact")
     state = spool(absorb(spark, path, place, id_col, text_col, digest, batch_bytes), "exact-state")
-    rows = _located(spark.read.parquet(path), id_col, text_col, digest)
-    false = spool(_false_hits(rows, state), "false-hits")
-    true = rows.select("id", "file", "row", "digest").join(state, "digest")
+    docs = spark.read.parquet(path)
+    located = _located(docs, id_col, text_col, digest)
+    judged = spool(
+        spool(located.select("id", "file", "row", "digest"), "located").join(state, "digest").withColumn(
+            "stays", (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
+        ),
+        "judged",
+    )
+    members = judged.where("n > 1").select("file", "row", "digest", "stays")
+    false = spool(_false_hits(docs, text_col, members), "false-hits")
     if not false.isEmpty():
-        true = true.join(false, "digest", "left_anti").unionByName(
-            _by_text(rows.join(false, "digest", "left_semi")).select(*true.columns)
+        judged = judged.join(false, "digest", "left_anti").unionByName(
+            _by_text(located.join(false, "digest", "left_semi")).select(*judged.columns)
         )
-    return true.select(
+    return judged.select(
         F.col("id").alias(id_col),
         F.col("keep.id").alias("keep_id"),
         F.col("n").alias("group_size"),
-        ((F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))).alias("kept"),
+        F.col("stays").alias("kept"),
         "digest",
         "file",
         "row",
