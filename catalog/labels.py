@@ -120,9 +120,9 @@ def _(spark, sf_dir):
 
 @query("detect_noise", f"""WITH {LABELLED} SELECT doc_id, rating, true AS scored FROM labelled""")
 def _(spark, sf_dir):
-    """More rows than the models are fitted on: each is noisy or clean, none is lost."""
+    """Each row is noisy or clean, none is lost; fitted on up to 3,000 rows of each class."""
     rows = labelled(spark, sf_dir)
-    noisy, clean = noise_split(detect_noise(rows, "doc_id", classes=(0.0, 1.0), max_per_class=20))
+    noisy, clean = noise_split(detect_noise(rows, "doc_id", classes=(0.0, 1.0)))
     parts = [part.select("doc_id", "rating", F.col("label_quality_score").between(0, 1).alias("scored"))
              for part in (noisy, clean)]
     return parts[0].unionByName(parts[1])

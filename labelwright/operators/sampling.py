@@ -39,12 +39,31 @@ def sample_per_class(
     """``quota`` rows of every class, or all of a smaller class.
 
     ``quota`` is a number, or one number per class (other classes give no
-    rows). Rows without a label are dropped. Two narrow passes run at once to
-    find the cuts; the result is a lazy filter.
+    rows). Rows without a label or an id are dropped. Two narrow passes run at once
+    to find the cuts; the result is a lazy filter.
     """
+    return df.filter(in_sample(df, quota, id_col, label_col, seed))
+
+
+def split_per_class(
+    df: DataFrame,
+    quota: int | Mapping[float, int],
+    id_col: str,
+    label_col: str = "rating",
+    seed: str = SEED,
+) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``sample_per_class``, all others): each row is in exactly one, whatever its id."""
+    chosen = F.coalesce(in_sample(df, quota, id_col, label_col, seed), F.lit(False))
+    return df.filter(chosen), df.filter(~chosen)
+
+
+def in_sample(
+    df: DataFrame, quota: int | Mapping[float, int], id_col: str, label_col: str, seed: str
+) -> Column:
+    """The condition that the rows of ``sample_per_class`` meet."""
     cuts = class_cuts(df, quota, id_col, label_col, seed)
     if not cuts:
-        return df.filter(F.lit(False))
+        return F.lit(False)
     kinds = {name: df.schema[name].dataType for name in (id_col, label_col)}
     cut_of = F.create_map(
         *[
@@ -59,8 +78,9 @@ def sample_per_class(
         ]
     )
     key = F.struct(seeded_digest(F.col(id_col), seed).alias("digest"), F.col(id_col).alias("id"))
-    return df.filter(
-        F.col(label_col).isNotNull() & (key <= F.try_element_at(cut_of, F.col(label_col)))
+    return (
+        F.col(label_col).isNotNull() & F.col(id_col).isNotNull()
+        & (key <= F.try_element_at(cut_of, F.col(label_col)))
     )
 
 
@@ -77,7 +97,7 @@ def class_cuts(
     2. Find the bucket in which the quota is reached.
     3. Rank only that bucket's ids, about 1/65,536 of a class.
     """
-    keys = df.filter(F.col(label_col).isNotNull()).select(
+    keys = df.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(label_col).alias("_label"),
         F.col(id_col).alias("_id"),
         seeded_digest(F.col(id_col), seed).alias("_digest"),

@@ -16,7 +16,7 @@ from labelwright.operators.confident import (
     label_quality,
 )
 from labelwright.operators.filters import split_by_flag
-from labelwright.operators.sampling import cap_per_class
+from labelwright.operators.sampling import split_per_class
 from labelwright.session import spool
 
 MAX_PER_CLASS = 3000
@@ -63,8 +63,8 @@ def detect_noise(
     rows = spool(df.na.drop(subset=[text_col, label_col]), "rated")
     fitted, others = rows, None
     if max_per_class:
-        fitted = spool(cap_per_class(rows, max_per_class, id_col, label_col, seed), "fitted")
-        others = rows.join(fitted.select(id_col), id_col, "left_anti").select(*rows.columns)
+        chosen, others = split_per_class(rows, max_per_class, id_col, label_col, seed)
+        fitted = spool(chosen, "fitted")
     scored = oof_probabilities(
         fitted, id_col, text_col, label_col, classes, seed=seed, others=others, **training
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from labelwright.models import classifier, folds, linear
 from labelwright.models.stages import TfidfVectorizer
-from labelwright.operators import features, metrics
+from labelwright.operators import features, metrics, sampling
 from labelwright.plans import comparison
 from labelwright.plans.noise import detect_noise, noise_split
 from labelwright.plans.out_of_domain import ood_funnel, prepare_ood
@@ -164,6 +164,20 @@ def test_noise_is_found(reviews):
     assert all(r.suggested_rating != r.rating for r in rows if r.is_label_issue)
 
 
+def test_repeated_and_missing_ids_lose_no_row(spark, reviews):
+    """Ids under two classes and null ids: every row is fitted or scored besides, once."""
+    twice = reviews.filter("id < 60").withColumn("rating", 6.0 - F.col("rating"))
+    nameless = reviews.filter("id < 50").withColumn("id", F.lit(None).cast("bigint"))
+    rows = reviews.union(twice).union(nameless)
+    scored = detect_noise(rows, "id", classes=CLASSES, max_per_class=20, max_features=200, max_iter=5)
+    assert scored.count() == 350
+    want = rows.groupBy("id", "rating").count()
+    assert scored.groupBy("id", "rating").count().exceptAll(want).count() == 0
+    chosen, others = sampling.split_per_class(rows, 20, "id")
+    assert chosen.filter("id IS NULL").count() == 0 and chosen.count() >= 40
+    assert chosen.count() + others.count() == 350
+
+
 def test_probabilities_sum_to_one_and_cover_absent_classes(reviews):
     scored = folds.oof_probabilities(reviews, "id", classes=(1.0, 3.0, 5.0), max_iter=5, max_features=100)
     rows = scored.collect()
