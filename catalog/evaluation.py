@@ -33,6 +33,7 @@ from labelwright.models import classifier, linear
 from labelwright.operators import assembly, metrics
 from labelwright.plans import comparison, out_of_domain
 from labelwright.session import scratch_path
+from labelwright.sources.files import report_sink, scan_csv
 
 # -- gold table ----------------------------------------------------------------------
 
@@ -295,8 +296,14 @@ SQL_EFFECTS = " UNION ALL ".join(
     experiment, round(f1_macro - base, 9) AS delta_f1, round((f1_macro - base) / base * 100, 6) AS delta_pct
   FROM steps WHERE place > 1""")
 def _(spark, sf_dir):
+    return comparison.effects(seeded_results(spark, sf_dir)).select(
+        "effect", "experiment", F.round("delta_f1", 9).alias("delta_f1"), F.round("delta_pct", 6).alias("delta_pct")
+    )
+
+
+def seeded_results(spark, sf_dir):
     rows = reviews(spark, sf_dir)
-    results = reduce(
+    return reduce(
         DataFrame.unionByName,
         [
             rows.agg(F.avg((h("e") < share).cast("int")).alias("f1_macro")).select(
@@ -305,9 +312,21 @@ def _(spark, sf_dir):
             for name, share in EFFECT_SEEDS.items()
         ],
     )
-    return comparison.effects(results).select(
-        "effect", "experiment", F.round("delta_f1", 9).alias("delta_f1"), F.round("delta_pct", 6).alias("delta_pct")
-    )
+
+
+@query("comparison_report", f"""WITH {REVIEWS}, results AS ({SQL_EFFECTS}),
+  steps AS (SELECT *, lag(f1_macro) OVER (ORDER BY place) AS base FROM results),
+  named AS (SELECT CASE place WHEN 2 THEN 'deduplication' WHEN 3 THEN 'class_balance' ELSE 'label_correction' END AS item,
+    f1_macro - base AS d, (f1_macro - base) / base * 100 AS pct FROM steps WHERE place > 1)
+  SELECT 'variant' AS section, experiment AS item, 'f1_macro' AS metric, round(f1_macro, 6) AS value FROM results
+  UNION ALL SELECT 'effect', item, 'delta_f1', round(d, 6) FROM named
+  UNION ALL SELECT 'effect', item, 'delta_pct', round(pct, 6) FROM named""")
+def _(spark, sf_dir):
+    """Written as a report and read back."""
+    path = scratch_path(spark, "comparison-report")
+    report = comparison.comparison_report(seeded_results(spark, sf_dir))
+    report_sink(report, path)
+    return scan_csv(spark, path, report.schema).withColumn("value", F.round("value", 6))
 
 
 TEST = f"""test AS (SELECT doc_id, text, rating FROM

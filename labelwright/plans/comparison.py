@@ -110,3 +110,16 @@ def compare_variants(
 
 def effects(results: DataFrame) -> DataFrame:
     return effect_decomposition(results, VARIANTS, EFFECTS)
+
+
+def comparison_report(results: DataFrame) -> DataFrame:
+    """(section, item, metric, value): every score of every variant, and what each step contributes.
+
+    Long and small, for ``report_sink``.
+    """
+    scores = [name for name in results.columns if name != "experiment"]
+    long = results.unpivot("experiment", [F.col(name).cast("double").alias(name) for name in scores], "metric", "value")
+    steps = effects(results).unpivot("effect", ["delta_f1", "delta_pct"], "metric", "value")
+    return long.select(F.lit("variant").alias("section"), F.col("experiment").alias("item"), "metric", "value").unionByName(
+        steps.select(F.lit("effect").alias("section"), F.col("effect").alias("item"), "metric", "value")
+    )
