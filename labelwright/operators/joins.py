@@ -119,8 +119,8 @@ def remove_leakage(
     """Drop training rows whose text is in the test set; null texts stay.
 
     Up to ``broadcast_rows`` test texts travel as 32-byte digests to every
-    task, so the training rows are not shuffled. The test set is counted first;
-    a larger one takes the salted join.
+    task, so the training rows are not shuffled. The distinct ones are counted
+    first, up to that bound; a larger test set takes the salted join.
     """
     columns = train.columns
     keyed = train.withColumn("_key", text_key(F.col(text_col)))
@@ -129,7 +129,7 @@ def remove_leakage(
         .select(text_key(F.col(text_col)).alias("_key"))
         .distinct()
     )
-    if test.count() <= broadcast_rows:
+    if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
         kept = keyed.join(F.broadcast(keys), "_key", "left_anti")
     else:
         kept = salted_join(keyed, keys, "_key", id_col, "left_anti")
