@@ -250,6 +250,7 @@ def _sql_places(name: str, pattern: str) -> str:
         unnest(range(1, len(regexp_extract_all(t, {_sql(pattern)})) + 1)) AS i FROM d))"""
 
 
+_ALLOWED = "|".join(f"(?:{pattern})" for pattern in secrets.ALLOWED)
 ORACLES["op10_secrets"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
   {_sql_places('assigned', secrets.ASSIGN)},
   {_sql_places('accessed', secrets.ACCESS)},
@@ -259,18 +260,21 @@ ORACLES["op10_secrets"] = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t
       WHERE length(regexp_extract(s, {_sql(secrets.ASSIGN)}, 2)) >= 8
     UNION ALL SELECT doc_id, a, 1, a + length(s) FROM accessed WHERE length(s) >= 16
     UNION ALL SELECT doc_id, a, 2, a + length(s) FROM hexed WHERE length(s) >= 32),
-  candidates AS (SELECT doc_id, s, a, CASE {' '.join(
-      f"WHEN regexp_matches(s, {_sql(test)}) THEN {bits}" for _, test, bits in secrets.CLASSES)} END AS bits
-    FROM runs WHERE length(s) >= {secrets.WINDOW} AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')
-      AND NOT ({' OR '.join(f"regexp_matches(s, {_sql(p)})" for p in secrets.ALLOWED)})),
-  windows AS (SELECT doc_id, a AS run, a + i AS a, bits, substring(s, i + 1, {secrets.WINDOW}) AS w
-    FROM (SELECT *, unnest(range(0, length(s) - {secrets.WINDOW - 1})) AS i FROM candidates)),
-  hits AS (SELECT doc_id, run, a FROM windows WHERE log2({secrets.WINDOW}) - list_sum(list_transform(
-      map_values(list_histogram(string_split(w, ''))), lambda n: n * log2(n))) / {secrets.WINDOW} >= bits - 1e-9),
-  marked AS (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY doc_id, run ORDER BY a) <= {secrets.WINDOW}
+  cut AS (SELECT doc_id, a, string_split_regex(s, {_sql(_ALLOWED)}) AS b, regexp_extract_all(s, {_sql(_ALLOWED)}) AS f
+    FROM runs WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]') AND regexp_matches(s, {_sql(secrets.NOT_WORDS)})),
+  pieces AS (SELECT doc_id, b[i] AS s, a + coalesce(list_sum(list_transform(b[1:i - 1], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS a
+    FROM (SELECT *, unnest(range(1, len(b) + 1)) AS i FROM cut)),
+  windows AS (SELECT doc_id, a + i AS a, substring(s, i + 1, {secrets.WINDOW}) AS w
+    FROM (SELECT *, unnest(range(0, length(s) - {secrets.WINDOW - 1})) AS i FROM pieces WHERE length(s) >= {secrets.WINDOW})),
+  hits AS (SELECT doc_id, a FROM windows WHERE regexp_matches(w, '[0-9]') AND regexp_matches(w, '[A-Za-z]')
+    AND log2({secrets.WINDOW}) - list_sum(list_transform(map_values(list_histogram(string_split(w, ''))), lambda n: n * log2(n)))
+      / {secrets.WINDOW} >= CASE WHEN regexp_matches(w, '^[0-9A-Fa-f]+$') THEN {secrets.CLASSES['hex']}
+        WHEN regexp_matches(w, '^[0-9A-Za-z]+$') THEN {secrets.CLASSES['alnum']} ELSE {secrets.CLASSES['token']} END - 1e-9),
+  marked AS (SELECT *, CASE WHEN a - lag(a) OVER (PARTITION BY doc_id ORDER BY a) <= {secrets.WINDOW}
       THEN 0 ELSE 1 END AS fresh FROM hits),
-  islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, run ORDER BY a) AS island FROM marked),
-  added AS (SELECT doc_id, min(a) AS a, 3 AS k, max(a) + {secrets.WINDOW} AS e FROM islands GROUP BY doc_id, run, island),
+  islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS island FROM marked),
+  added AS (SELECT doc_id, min(a) AS a, 3 AS k, max(a) + {secrets.WINDOW} AS e FROM islands GROUP BY doc_id, island),
   every AS (SELECT * FROM base UNION ALL SELECT * FROM added x WHERE NOT EXISTS (
       SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.a < x.e AND x.a < b.e)),
   written AS (SELECT doc_id, a, k, ['assign', 'access', 'hex', 'entropy'][k + 1]||':'||a||':'||e AS one FROM every),

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -20,23 +21,28 @@ def brute(text):
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
-    extra = []
-    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+    hits, allowed = [], re.compile("|".join(f"(?:{p})" for p in ALLOWED))
+    for m in re.finditer(r"[A-Za-z0-9+/_-]+", text):
         s = m[0]
-        if len(s) < WINDOW or not (re.search("[0-9]", s) and re.search("[A-Za-z]", s)):
-            continue
-        if any(re.search(p, s) for p in ALLOWED):
+        if re.fullmatch("(/?[A-Za-z]+[0-9]{0,4})([/_-][A-Za-z]*[0-9]{0,4})*", s):
             continue
-        bits = next(b for _, test, b in CLASSES if re.search(test, s))
-        runs = []
+        listed = [a.span() for a in allowed.finditer(s)]
         for i in range(len(s) - WINDOW + 1):
-            counts = Counter(s[i : i + WINDOW]).values()
-            if -sum(c / WINDOW * math.log2(c / WINDOW) for c in counts) >= bits - 1e-9:
-                if runs and runs[-1][1] >= i:
-                    runs[-1][1] = i + WINDOW
-                else:
-                    runs.append([i, i + WINDOW])
-        extra += [(m.start() + a, 3, m.start() + b) for a, b in runs]
+            w = s[i : i + WINDOW]
+            if any(a < i + WINDOW and i < b for a, b in listed):
+                continue
+            if not (re.search("[0-9]", w) and re.search("[A-Za-z]", w)):
+                continue
+            kind = "hex" if re.fullmatch("[0-9A-Fa-f]+", w) else "alnum" if w.isalnum() else "token"
+            bits = -sum(c / WINDOW * math.log2(c / WINDOW) for c in Counter(w).values())
+            if bits >= CLASSES[kind] - 1e-9:
+                hits.append(m.start() + i)
+    extra = []
+    for i in hits:
+        if extra and extra[-1][2] >= i:
+            extra[-1] = (extra[-1][0], 3, i + WINDOW)
+        else:
+            extra.append((i, 3, i + WINDOW))
     extra = [e for e in extra if not any(b[0] < e[2] and e[0] < b[2] for b in found)]
     return sorted(found + extra)
 
@@ -50,6 +56,9 @@ def texts():
         "deadbeef" * 4, "123e4567-e89b-12d3-a456-426614174000", "a" * 40 + "1", "path/to/some_module/name12/x",
         "token=password=12345678 AKIA" + "Z" * 30, "f" * 31 + " " + "f" * 32, "secret\n:abcdefgh",
         "Sicherheitseinrichtungen4you zusammengehörigkeitsgefühl12",
+        "KEY=9F86D081884C7D659A2F", "id-9f86d081884c7d659a2feaa0", "sig_0A1B2C3D4E5F60718293A4B5C6D7",
+        "example" + "x7Kq9ZpL2mVw8RtY4uBn6" + "changeme", "abcdefghij" * 3, "a/b" * 4000, "9-" * 3000,
+        "".join(rng.choice(alphabet) for _ in range(1500)), " 🙂 token=abcdefgh12 " * 700,
     ]
     for _ in range(120):
         parts = [
@@ -71,7 +80,7 @@ def test_equals_brute_force(spark):
 
 def test_entropies(spark):
     df = spark.createDataFrame([("abcdabcdaaaa" * 4,)], "s string")
-    got = df.select(window_entropies(F.split("s", ""), 5).alias("h")).first().h
+    got = df.select(window_entropies(F.col("s"), 5).alias("h")).first().h
     s = "abcdabcdaaaa" * 4
     for i, h in enumerate(got):
         want = -sum(c / 5 * math.log2(c / 5) for c in Counter(s[i : i + 5]).values())
@@ -94,3 +103,40 @@ def test_empty_and_no_shuffle(spark, physical_plan):
     df = spark.createDataFrame([], "text string")
     assert scan(df).collect() == []
     assert "Exchange" not in physical_plan(scan(df))
+
+
+def test_what_stands_before_a_secret_does_not_hide_it(spark):
+    rng = random.Random(11)
+    secrets = ["".join(rng.choice("0123456789ABCDEF") for _ in range(32)) for _ in range(300)]
+    before = ["", "KEY=", "id-", "sig_", "example", "v1/"]
+    data = [(p, p + s) for p in before for s in secrets]
+    rows = scan(spark.createDataFrame(data, "before string, text string")).groupBy("before").agg(
+        F.avg(F.exists("spans", lambda s: s.rank == 3).cast("int")).alias("found")
+    ).collect()
+    assert len(rows) == len(before) and all(r.found >= 0.99 for r in rows), rows
+
+
+def test_very_long_texts(spark):
+    """A run of a million characters, and a text with tens of thousands of matches."""
+    rng = random.Random(2)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    image = "data:base64," + "".join(rng.choices(alphabet, k=1_000_000))
+    many = "password=hunter2hunter x7Kq9ZpL2mVw8RtY4uBn6 🙂 " * 20_000
+    df = spark.createDataFrame([(1, image), (2, many)], "doc_id int, text string")
+    begun = time.monotonic()
+    rows = scan(df).select(
+        "doc_id", F.size("spans").alias("n"),
+        F.element_at("spans", -1).alias("last"), redacted(F.col("text"), F.col("spans")).alias("redacted"),
+    ).collect()
+    took = time.monotonic() - begun
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[1].last.end == len(image) and by_id[1].redacted.startswith("data:base64,[SECRET]")
+    assert by_id[2].n == 40_000
+    assert by_id[2].redacted == "[SECRET] [SECRET] 🙂 " * 20_000
+    assert took < 90, took
+
+
+def test_column_of_the_same_name(spark):
+    df = spark.createDataFrame([(1, "password=hunter2hunter", "clash")], "doc_id int, text string, Spans string")
+    row = scan(df).first()
+    assert len(row) == 3 and [tuple(s) for s in row[2]] == [(0, 0, 22)]
