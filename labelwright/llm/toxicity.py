@@ -435,8 +435,12 @@ def train(
             .orderBy(F.xxhash64(F.lit("tox"), id_col), id_col).limit(most)
         )
         drawn = ids if drawn is None else drawn.unionByName(ids)
-    rows = texts.join(F.broadcast(drawn), id_col).select("_toxic", text_col, id_col).toPandas()
-    rows = rows.sort_values([id_col, text_col]).drop_duplicates([id_col])
+    # Of rows that repeat an id, the least text: one row an id comes to the driver.
+    rows = (
+        texts.join(F.broadcast(drawn), id_col).groupBy("_toxic", id_col)
+        .agg(F.min(text_col).alias(text_col)).toPandas()
+    )
+    rows = rows.sort_values([id_col, text_col])
     return fit(rows[text_col].tolist(), rows["_toxic"].to_numpy(), share)
 
 
