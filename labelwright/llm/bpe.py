@@ -7,9 +7,10 @@ positions whose pair it joins, ranks come off a heap in order, and a merge looks
 at the two neighbours it touches. So a piece that fills the corpus is encoded once per
 task, nothing is shuffled, and a lost executor costs the tasks it held.
 
-Memory: texts come in slices of bounded size, and the pieces a task remembers are
-dropped when they exceed ``MEMORY`` entries (they are then encoded again when met).
-A text is never cut. The ranks are a broadcast whose size is checked.
+Memory: texts and ids come in slices of bounded size, and the pieces a task remembers are
+dropped when they exceed ``MEMORY`` bytes (they are then encoded again when met).
+A text is never cut. The ranks are a broadcast whose size is checked. ``round_trip`` encodes
+and decodes slice by slice in one Python step, where two would hold two workers a core.
 
 Defined results: a null or empty text has no ids and decodes to nothing; special tokens
 are ordinary text; repeated rows repeat; extra columns stay, those named like an output
@@ -21,17 +22,21 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
-from labelwright.llm.common import small_slices
+from labelwright.llm.common import give_back, small_slices
 
-MEMORY = 250_000
+#: Bytes of pieces that a task remembers; each costs ``PIECE`` beyond its own.
+MEMORY = 48 << 20
+PIECE = 200
 SLICE_BYTES = 4 << 20
+SLICE_IDS = 1 << 20
 MAX_RANKS_BYTES = 64 << 20
 
 #: White space as the rank files' library means it. Fixed values.
@@ -184,12 +189,13 @@ class Encoder:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.held = 0
         self.flat = np.zeros(0, np.int32)
         self.offsets = np.zeros(1, np.int64)
 
     def encode(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and where each text's ids start and end."""
-        if len(self.number) > self.memory:
+        if self.held > self.memory:
             self._forget()
         number, known = self.number, len(self.number)
         codes, counts = [], []
@@ -200,7 +206,8 @@ class Encoder:
             )
             counts.append(len(pieces))
         if len(number) > known:
-            fresh = [p.encode() for p in list(number)[known:]]
+            fresh = [p.encode() for p in islice(number, known, None)]
+            self.held += sum(map(len, fresh)) + PIECE * len(fresh)
             ids, sizes = replay(fresh, self.merges)
             self.flat = np.concatenate([self.flat, ids])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
@@ -231,6 +238,19 @@ def _shared_ranks(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load_ranks(path))
 
 
+class Decoder:
+    """The bytes of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.token = [b""] * (max(ranks.values(), default=-1) + 1)
+        for value, rank in ranks.items():
+            self.token[rank] = value
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        token = self.token
+        return pa.array([b"".join([token[i] for i in ids.tolist()]) for ids in _lists(lists)], pa.binary())
+
+
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "ids"
 ) -> DataFrame:
@@ -240,13 +260,17 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(ranks.value, pattern)
         for part in small_slices(batches, text_col, SLICE_BYTES):
-            ids, upto = encoder.encode(part.column(text_col).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
-            yield _appended(part, out, lists)
+            yield _appended(part, out, _encoded(encoder, part.column(text_col)))
+        give_back()
 
     return docs.mapInArrow(run, _with_column(docs.schema, out, ArrayType(IntegerType(), True)))
 
 
+def _encoded(encoder: Encoder, texts: pa.Array) -> pa.ListArray:
+    ids, upto = encoder.encode(texts.to_pylist())
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
+
+
 def decode(
     encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out: str = "decoded",
     id_bytes: str | None = None,
@@ -261,21 +285,49 @@ def decode(
         schema = _with_column(schema, id_bytes, BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = [b""] * (max(ranks.value.values(), default=-1) + 1)
-        for value, rank in ranks.value.items():
-            token[rank] = value
-        for batch in batches:
-            texts, numbers = [], []
-            for ids in _lists(batch.column(ids_col)):
-                texts.append(b"".join([token[i] for i in ids.tolist()]))
-                if id_bytes:
-                    numbers.append(ids.astype("<u4").tobytes())
-            batch = _appended(batch, out, pa.array(texts, pa.binary()))
-            yield _appended(batch, id_bytes, pa.array(numbers, pa.binary())) if id_bytes else batch
+        decoder = Decoder(ranks.value)
+        for batch in _few_ids(batches, ids_col):
+            lists = batch.column(ids_col)
+            batch = _appended(batch, out, decoder.decode(lists))
+            if id_bytes:
+                numbers = [ids.astype("<u4").tobytes() for ids in _lists(lists)]
+                batch = _appended(batch, id_bytes, pa.array(numbers, pa.binary()))
+            yield batch
+        give_back()
 
     return encoded.mapInArrow(run, schema)
 
 
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out: str = "ids"
+) -> DataFrame:
+    """``docs`` with the ids of each text, and in place of the text what those ids decode to."""
+    ranks = _shared_ranks(docs.sparkSession, ranks_path)
+    schema = _with_column(_with_column(docs.schema, text_col, StringType()), out, ArrayType(IntegerType(), True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = Encoder(ranks.value, pattern), Decoder(ranks.value)
+        for part in small_slices(batches, text_col, SLICE_BYTES):
+            lists = _encoded(encoder, part.column(text_col))
+            part = _appended(part, text_col, decoder.decode(lists).cast(pa.string()))
+            yield _appended(part, out, lists)
+        give_back()
+
+    return docs.mapInArrow(run, schema)
+
+
+def _few_ids(batches: Iterator[pa.RecordBatch], ids_col: str) -> Iterator[pa.RecordBatch]:
+    """The rows in order, in slices of about ``SLICE_IDS`` ids; a longer list is one by itself."""
+    for batch in batches:
+        upto = batch.column(ids_col).offsets.to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(upto, upto[start] + SLICE_IDS, "right")) - 1
+            end = min(max(end, start + 1), batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _lists(column: pa.ListArray) -> Iterator[np.ndarray]:
     """Each row's ids by themselves, none for null; never a batch as Python objects."""
     flat = column.values.to_numpy(zero_copy_only=False)

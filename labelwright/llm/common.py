@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,6 +54,16 @@ def small_slices(
         if start < batch.num_rows:
             yield batch.slice(start)
 
+
+def give_back() -> None:
+    """Hands freed memory to the system at the end of a task: its worker stays for others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 #: Keys of a filter by bucket: a table of at most this many rows, so it may be broadcast.
 FILTER_BUCKETS = 1 << 20
 

@@ -92,10 +92,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``ids`` and ``n_tokens`` of each text, and in place of the text what the ids decode to."""
     path = public_tokenizers.path(RANKS)
-    both = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text"), path)
-    return both.select(
-        *[n for n in docs.columns if n not in ("text", "ids", "n_tokens", "decoded")],
-        F.decode("decoded", "UTF-8").alias("text"),
+    coded = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
+    return coded.select(
+        *[n for n in docs.columns if n.lower() not in ("text", "ids", "n_tokens")],
+        "text",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",
     )
