@@ -5,7 +5,8 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from labelwright.llm.bpe import Encoder, Merges, decode, encode, load_ranks, replay
+from labelwright.llm import bpe
+from labelwright.llm.bpe import Encoder, Merges, decode, encode, load_ranks, replay, round_trip
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id long, text string, Ids string, extra int"
@@ -77,3 +78,19 @@ def test_rank_file_is_read_whole(ranks):
         assert len(ranks) == sum(1 for _ in lines)
     assert all(bytes([b]) in ranks for b in range(256))
     assert base64.b64encode(b"a")
+
+
+def test_round_trip_and_slices(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "SLICE_IDS", 40)
+    monkeypatch.setattr(bpe, "SLICE_BYTES", 200)
+    long_text = "".join(random.Random(4).choices("abc de\n", k=200_000))
+    data = [(i, t, "clash", 7) for i, t in enumerate([*texts(), long_text])]
+    df = spark.createDataFrame(data, SCHEMA)
+    rows = round_trip(df, PATH, public_tokenizers.PATTERN).collect()
+    assert len(rows) == len(data)
+    given = {d[0]: d[1] for d in data}
+    for r in rows:
+        assert r.text == (given[r.doc_id] or "") and r.ids == library.encode_ordinary(r.text)
+    both = decode(encode(df, PATH, public_tokenizers.PATTERN), PATH).collect()
+    assert [bytes(r.decoded).decode() for r in both] == [given[r.doc_id] or "" for r in both]
+    assert len(both) == len(data)
