@@ -12,9 +12,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from labelwright import SEED
-from labelwright.functions.hashing import digest_bucket, seeded_digest, unit_interval
+from labelwright.functions.hashing import BUCKET_DIGITS, digest_bucket, seeded_digest, unit_interval
 from labelwright.operators.profile import class_counts
 
+#: A bucket of more rows is divided once more before its ids are counted.
+EDGE_ROWS = 1_000_000
+
 
 def stratified_sample(
     df: DataFrame,
@@ -90,12 +93,15 @@ def class_cuts(
     id_col: str,
     label_col: str,
     seed: str,
+    edge_rows: int = EDGE_ROWS,
 ) -> dict:
     """Class -> (digest, id) of the last row to keep; one entry per class.
 
     1. Count rows per (class, digest bucket): at most 65,536 rows per class.
-    2. Find the bucket in which the quota is reached.
-    3. Rank only that bucket's ids, about 1/65,536 of a class.
+    2. Find the bucket in which the quota is reached; if it is large, the one of its own
+       65,536 buckets.
+    3. Count that bucket's rows by id and add up in id order. An id that fills the table
+       is one number a task by then.
     """
     keys = df.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
         F.col(label_col).alias("_label"),
@@ -109,21 +115,21 @@ def class_cuts(
         wanted = F.coalesce(F.try_element_at(literal_map(quota), label), F.lit(0))
     else:
         wanted = F.lit(quota)
-    bucket = digest_bucket(F.col("_digest"))
-    sizes = keys.groupBy("_label", bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    edges = edge_buckets(sizes, "_label", wanted.cast("bigint")).collect()
-    if not edges:
-        return {}
-    bucket_of = literal_map({row._label: row._bucket for row in edges})
-    last_of = literal_map({row._label: min(row._room, row._n) for row in edges})
-    place = F.row_number().over(Window.partitionBy("_label").orderBy("_digest", "_id"))
-    last = (
-        keys.filter(bucket == F.try_element_at(bucket_of, label))
-        .withColumn("_place", place)
-        .filter(F.col("_place") == F.try_element_at(last_of, label))
-        .collect()
-    )
-    return {row._label: (row._digest, row._id) for row in last}
+    def edges_by(key: Column) -> list:
+        sizes = keys.groupBy("_label", key.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+        return edge_buckets(sizes, "_label", wanted.cast("bigint")).collect()
+
+    for digits in (BUCKET_DIGITS, 2 * BUCKET_DIGITS):
+        bucket = digest_bucket(F.col("_digest"), digits)
+        edges = edges_by(bucket)
+        if not edges:
+            return {}
+        keys = keys.filter(bucket == F.try_element_at(literal_map({e._label: e._bucket for e in edges}), label))
+        wanted = F.try_element_at(literal_map({e._label: e._room for e in edges}), label)
+        if max(e._n for e in edges) <= edge_rows:
+            break
+    last = edges_by(F.struct(F.col("_digest").alias("digest"), F.col("_id").alias("id")))
+    return {e._label: (e._bucket.digest, e._bucket.id) for e in last}
 
 
 def literal_map(values: Mapping) -> Column:

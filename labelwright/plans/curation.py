@@ -24,8 +24,8 @@ from labelwright.operators.relabel import (
     sanitize_records,
     unanswered_counter,
 )
-from labelwright.session import spool
-from labelwright.sources.answers import answered_ids, append_answers, read_answers
+from labelwright.session import discard, spool
+from labelwright.sources.answers import adopt, answered_ids, append_answers, read_answers
 
 
 @dataclass(frozen=True)
@@ -51,10 +51,13 @@ def ask_model(
 ) -> DataFrame:
     """Answer every flagged row that the log lacks; returns the whole log.
 
-    The log is committed every ``batches_per_commit`` requests. A restart asks
-    only for the rows that no committed request covers.
+    The log is committed every ``batches_per_commit`` requests, and each answer is kept
+    beside it from the moment it comes. A task that is lost, or a restart after a stop at
+    any point, asks only for the rows without an answer.
     """
     spark = flagged.sparkSession
+    journal = f"{log_path.rstrip('/')}-journal"
+    adopt(spark, journal, log_path)
     keyed = flagged.withColumn("row_id", F.col(id_col).cast("string"))
     pending = resume_anti(keyed, answered_ids(read_answers(spark, log_path)), "row_id")
     requests = build_requests(
@@ -66,7 +69,10 @@ def ask_model(
         part = prompts.filter(
             (F.col("batch_id") >= start) & (F.col("batch_id") < start + batches_per_commit)
         )
-        append_answers(complete_batches(part, complete, callers, **retry), log_path)
+        append_answers(
+            complete_batches(part, complete, callers, journal=journal, **retry), log_path
+        )
+    discard(spark, journal)
     return read_answers(spark, log_path)
 
 

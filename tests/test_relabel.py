@@ -179,6 +179,58 @@ def test_resume_asks_only_for_the_rest(spark, flagged):
     assert ask_model(flagged, answering(), path, "id", wait_seconds=0.0).count() == before
 
 
+def counting(folder, stop_at=None):
+    """Answers, leaves a file for each call, and ends its Python worker on call ``stop_at``."""
+    reply = answering()
+
+    def complete(prompt):
+        import os
+        import uuid
+
+        (folder / uuid.uuid4().hex).touch()
+        if stop_at is not None and len(list(folder.iterdir())) == stop_at:
+            os._exit(1)
+        return reply(prompt)
+
+    return complete
+
+
+def test_a_lost_task_asks_only_for_the_rest(spark, flagged, tmp_path):
+    path = scratch_path(spark, "log")
+    with pytest.raises(Exception, match="(?i)worker|crash|exit"):
+        ask_model(flagged, counting(tmp_path, 4), path, "id", wait_seconds=0.0, callers=1)
+    assert len(list(tmp_path.iterdir())) == 4 and read_answers(spark, path).count() == 0
+    log = ask_model(flagged, counting(tmp_path), path, "id", wait_seconds=0.0, callers=1)
+    # Five requests; only the one that was lost with its worker was made twice.
+    assert len(list(tmp_path.iterdir())) == 6
+    assert sorted(int(i) for r in log.collect() for i in r.row_ids) == list(range(23))
+    result = curate(flagged, flagged.limit(0), log, "id")
+    assert result.corrected.count() == 23
+    counters = {r.counter: r.value for r in result.counters.collect()}
+    assert counters["calls"] == 5 and counters["failures"] == 0
+
+
+def test_a_second_attempt_reads_the_journal(spark, flagged, tmp_path):
+    prompts = relabel.build_prompt(relabel.build_requests(flagged, "id"))
+    journal = scratch_path(spark, "journal")
+    first, second = (
+        sorted(relabel.complete_batches(prompts, counting(tmp_path), wait_seconds=0.0, journal=journal).collect())
+        for _ in range(2)
+    )
+    assert first == second and len(first) == 5 == len(list(tmp_path.iterdir()))
+
+
+def test_a_journal_that_the_log_has_already_adds_nothing(spark, flagged, tmp_path):
+    """A stop after the commit and before the journal is removed."""
+    path = scratch_path(spark, "log")
+    ask_model(flagged, answering(), path, "id", wait_seconds=0.0)
+    prompts = relabel.build_prompt(relabel.build_requests(flagged, "id"))
+    relabel.complete_batches(prompts, answering(), wait_seconds=0.0, journal=f"{path}-journal").collect()
+    log = ask_model(flagged, counting(tmp_path), path, "id", wait_seconds=0.0)
+    assert not list(tmp_path.iterdir())
+    assert sorted(int(i) for r in log.collect() for i in r.row_ids) == list(range(23))
+
+
 def test_no_log_yet(spark):
     assert read_answers(spark, scratch_path(spark, "absent")).count() == 0
 

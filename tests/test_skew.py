@@ -123,6 +123,29 @@ def test_samples_do_not_depend_on_partitions(rows):
     assert ids[0] == ids[1]
 
 
+@pytest.mark.parametrize("edge_rows", [1_000_000, 0])
+@pytest.mark.parametrize("quota", [1, 40, 1_500, 5_000])
+def test_cuts_with_a_hot_id(spark, quota, edge_rows):
+    """One id has a third of the rows; with ``edge_rows`` 0 buckets are divided once more."""
+    data = [(7 if i % 3 == 0 else i, float(i % 2)) for i in range(N)]
+    df = spark.createDataFrame(data, "id bigint, rating double").repartition(5)
+    expected = {}
+    for label in (0.0, 1.0):
+        members = sorted((digest(i), i) for i, other in data if other == label)
+        expected[label] = members[: quota][-1]
+    assert sampling.class_cuts(df, quota, "id", "rating", "42", edge_rows) == expected
+
+
+def test_a_hot_id_is_counted_before_the_shuffle(spark, tmp_path):
+    """Rows shuffled while cuts are found: ids and buckets, not the copies of an id."""
+    df = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(7).alias("id"), F.lit(1.0).alias("rating"))
+    df.write.parquet(str(tmp_path / "rows"))
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    (cut,) = sampling.class_cuts(stored, 100, "id", "rating", "42").values()
+    copies = stored.groupBy("id").count().filter("count > 1").count()
+    assert copies == 1 and cut == sorted((digest(i), i) for i in [7, *[i for i in range(60_000) if i % 3]])[99]
+
+
 def test_quota_of_zero_and_unknown_class(rows):
     df, _ = rows
     got = sampling.sample_per_class(df, {2.0: 3, 9.0: 5}, "id")
