@@ -10,11 +10,12 @@ from labelwright.contracts import METADATA_COLUMNS, present_columns
 from labelwright.functions.hashing import seeded_digest, unit_interval
 from labelwright.functions.text import text_key
 from labelwright.operators.dedup import dedup_text
+from labelwright.session import spool
 
 HOT_SHARE = 1e-5
 SAMPLE_RATE = 1 / 64
 MIN_HITS = 20
-BROADCAST_ROWS = 200_000
+FILTER_BUCKETS = 1 << 20
 
 
 def hot_keys(
@@ -83,6 +84,28 @@ def salted_join(
     return salted_left.join(salted_right, [key_col, "_salt"], how).drop("_salt")
 
 
+def split_by_bucket(
+    df: DataFrame, keys: DataFrame, key_col: str, buckets: int = FILTER_BUCKETS
+) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose key may be in ``keys``, rows whose key is not), without a shuffle.
+
+    Only the numbers of the buckets that hold a key are broadcast: at most ``buckets``,
+    whatever the size of ``keys``. Every row of ``df`` is in exactly one of the two; null
+    keys are in the second.
+    """
+    bucket = F.when(
+        F.col(key_col).isNotNull(), F.pmod(F.xxhash64(key_col), F.lit(buckets)).cast("int")
+    )
+    taken = F.broadcast(
+        keys.filter(F.col(key_col).isNotNull()).select(bucket.alias("_bucket")).distinct()
+    )
+    marked = df.withColumn("_bucket", bucket)
+    return (
+        marked.join(taken, "_bucket", "left_semi").drop("_bucket"),
+        marked.join(taken, "_bucket", "left_anti").drop("_bucket"),
+    )
+
+
 def metadata_enrich(
     df: DataFrame,
     metadata: DataFrame,
@@ -114,26 +137,25 @@ def remove_leakage(
     test: DataFrame,
     id_col: str,
     text_col: str = "text",
-    broadcast_rows: int = BROADCAST_ROWS,
+    buckets: int = FILTER_BUCKETS,
 ) -> DataFrame:
     """Drop training rows whose text is in the test set; null texts stay.
 
-    Up to ``broadcast_rows`` test texts travel as 32-byte digests to every
-    task, so the training rows are not shuffled. The distinct ones are counted
-    first, up to that bound; a larger test set takes the salted join.
+    One plan for every size of the test set: its buckets travel to every task, training
+    rows in other buckets pass without a shuffle, and the rest, written once, take the
+    exact join. With 1,000 test texts that is one training row in a thousand.
     """
     columns = train.columns
     keyed = train.withColumn("_key", text_key(F.col(text_col)))
-    keys = (
+    keys = spool(
         test.filter(F.col(text_col).isNotNull())
         .select(text_key(F.col(text_col)).alias("_key"))
-        .distinct()
+        .distinct(),
+        "test_keys",
     )
-    if keys.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        kept = keyed.join(F.broadcast(keys), "_key", "left_anti")
-    else:
-        kept = salted_join(keyed, keys, "_key", id_col, "left_anti")
-    return kept.select(*columns)
+    likely, others = split_by_bucket(keyed, keys, "_key", buckets)
+    kept = salted_join(spool(likely, "likely"), keys, "_key", id_col, "left_anti")
+    return others.unionByName(kept.select(*others.columns)).select(*columns)
 
 
 def resume_anti(df: DataFrame, done: DataFrame, id_col: str) -> DataFrame:

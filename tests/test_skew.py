@@ -193,8 +193,31 @@ def test_leakage_keeps_null_texts(rows):
     df, data = rows
     test = df.filter("text in ('hot', 'text 5')")
     expected = sum(row[1] not in ("hot", "text 5") for row in data)
-    for bound in (1000_000, 0):
-        assert joins.remove_leakage(df, test, "id", broadcast_rows=bound).count() == expected
+    for buckets in (joins.FILTER_BUCKETS, 16, 1):
+        kept = joins.remove_leakage(df, test, "id", buckets=buckets)
+        assert kept.columns == df.columns and kept.count() == expected
+
+
+def test_leakage_with_an_empty_side(spark, rows):
+    df, _ = rows
+    assert joins.remove_leakage(df, df.limit(0), "id").count() == N
+    assert joins.remove_leakage(df, df.filter("text IS NULL"), "id").count() == N
+    assert joins.remove_leakage(df.limit(0), df, "id").count() == 0
+
+
+def test_bucket_filter_loses_and_doubles_no_row(rows, physical_plan):
+    df, data = rows
+    texts = {f"text {i}" for i in range(0, 700, 9)} | {"hot"}
+    keys = df.filter(F.col("text").isin(*texts)).select("text").distinct()
+    for buckets in (joins.FILTER_BUCKETS, 64, 1):
+        likely, others = joins.split_by_bucket(df, keys, "text", buckets)
+        inside, outside = ([r.id for r in part.collect()] for part in (likely, others))
+        assert sorted(inside + outside) == list(range(N))
+        assert {i for i, text, _ in data if text in texts} <= set(inside)
+        assert {i for i, text, _ in data if text is None} <= set(outside)
+    likely, others = joins.split_by_bucket(df, keys, "text")
+    # Only the numbers of buckets move: no exchange by hash of the wide rows.
+    assert "SortMergeJoin" not in physical_plan(others) and "BroadcastHashJoin" in physical_plan(others)
 
 
 def test_metadata_needs_asin_and_one_more(spark, rows):
