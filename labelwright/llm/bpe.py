@@ -261,6 +261,7 @@ def encode(
         encoder = Encoder(ranks.value, pattern)
         for part in small_slices(batches, text_col, SLICE_BYTES):
             yield _appended(part, out, _encoded(encoder, part.column(text_col)))
+        del encoder
         give_back()
 
     return docs.mapInArrow(run, _with_column(docs.schema, out, ArrayType(IntegerType(), True)))
@@ -293,6 +294,7 @@ def decode(
                 numbers = [ids.astype("<u4").tobytes() for ids in _lists(lists)]
                 batch = _appended(batch, id_bytes, pa.array(numbers, pa.binary()))
             yield batch
+        del decoder
         give_back()
 
     return encoded.mapInArrow(run, schema)
@@ -311,6 +313,7 @@ def round_trip(
             lists = _encoded(encoder, part.column(text_col))
             part = _appended(part, text_col, decoder.decode(lists).cast(pa.string()))
             yield _appended(part, out, lists)
+        del encoder, decoder
         give_back()
 
     return docs.mapInArrow(run, schema)

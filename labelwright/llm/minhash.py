@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from labelwright.llm.common import free_name, likely_in, small_slices
+from labelwright.llm.common import free_name, give_back, likely_in, small_slices
 from labelwright.llm.components import components
 from labelwright.session import spool
 
@@ -153,6 +153,7 @@ def _sketches(docs: DataFrame, text_col: str, names: dict[str, str]) -> DataFram
                  pa.array(_set_keys(hashed, upto), pa.int64()), lists],
                 [*order, names["n"], names["set"], names["sig"]],
             )
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -166,6 +167,7 @@ def _full_sets(texts: DataFrame) -> DataFrame:
             hashed, upto = shingles(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(hashed.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("node"), lists], ["node", "shingles"])
+        give_back()
 
     return texts.select("node", "text").mapInArrow(run, schema)
 

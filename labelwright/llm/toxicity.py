@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from labelwright.llm.common import free_name, small_slices
+from labelwright.llm.common import free_name, give_back, small_slices
 
 DECAY = 0.8
 SPAN = 7
@@ -49,7 +49,10 @@ LANDMARKS = (40, 24)
 MIN_EVIDENCE = 8.0
 TURNS = 3
 TOP = 3
-MEMORY = 400_000
+#: Bytes of word scores that a task remembers; each costs ``ENTRY`` beyond its word.
+MEMORY = 32 << 20
+ENTRY = 120
+SLICE_BYTES = 2 << 20
 
 _STEPS = [(b, c) for b, c in combinations(range(1, SPAN), 2)]
 _JUNK = re.compile(r"[\W\d_]+")
@@ -398,17 +401,20 @@ def hash_of(name: str) -> int:
 
 
 class Memory:
-    """Word scores that a task has worked out already; emptied when they are too many."""
+    """Word scores that a task has worked out already; emptied when they exceed ``most`` bytes."""
 
     def __init__(self, model: Model, most: int = MEMORY):
-        self.model, self.most, self.known = model, most, {}
+        self.model, self.most, self.known, self.held = model, most, {}, 0
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, float]:
         known = self.known
         fresh = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(fresh) > self.most:
+        cost = sum(map(len, fresh)) + ENTRY * len(fresh)
+        if self.held + cost > self.most:
             known.clear()
             fresh = list(dict.fromkeys(words))
+            self.held, cost = 0, sum(map(len, fresh)) + ENTRY * len(fresh)
+        self.held += cost
         known.update(zip(fresh, self.model.word_scores(fresh).tolist()))
         return np.array([known[w] for w in words]), self.model.bias
 
@@ -454,7 +460,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = Memory(shared.value)
-        for part in small_slices(batches, text_col):
+        for part in small_slices(batches, text_col, SLICE_BYTES):
             texts = part.column(text_col)
             if shared.value.scorer is None:
                 values = np.full(len(texts), shared.value.share)
@@ -465,6 +471,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
                 [*[part.column(i) for i in kept], pa.array(values)],
                 [*[part.schema.names[i] for i in kept], out],
             )
+        del memory
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

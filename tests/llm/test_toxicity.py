@@ -108,3 +108,17 @@ def test_edges(spark):
 def test_again_the_same(spark):
     rows = corpus(120, 3)
     assert np.array_equal(model_of(rows).curve, model_of(rows).curve)
+
+
+def test_memory_is_bound_by_bytes():
+    class Lengths:
+        bias = 0.5
+
+        def word_scores(self, words):
+            return np.array([float(len(w)) for w in words])
+
+    memory = tox.Memory(Lengths(), 1000)
+    for words in (["a", "bb", "a"], ["x" * 5000, "bb"], [], ["c" * i for i in range(1, 30)], ["a"]):
+        scores, bias = memory(words)
+        assert scores.tolist() == [len(w) for w in words] and bias == 0.5
+    assert list(memory.known) == ["a"] and memory.held == 1 + tox.ENTRY
