@@ -238,3 +238,18 @@ def test_bad_first_copy_hides_a_good_one(spark):
     )
     assert [(r.id, r.rating) for r in prepare_ood(hotels, "id").collect()] == [(3, 5.0)]
     assert [r.kept for r in ood_funnel(hotels, "id").orderBy("step").collect()] == [6, 5, 4, 3, 1, 1]
+
+
+def test_two_hinge_classes_are_fitted_once(spark, monkeypatch):
+    """One problem for two classes; a pass computes only the problems that are still asked for."""
+    shape = linear.Shape("hinge", 2, 2, 6, 1.0)
+    assert len(shape.problems) == 2
+    x, y = _dense(3, 60, 6, 2)
+    members = [[0] if i % 4 else [0, 1] for i in range(len(x))]
+    asked, one_pass = [], linear.one_pass
+    monkeypatch.setattr(
+        linear, "one_pass", lambda blocks, shape, weights, live: asked.append(live) or one_pass(blocks, shape, weights, live)
+    )
+    weights, passes = linear.fit(_packed(spark, x, y, members), shape, 1000, 1e-9)
+    assert weights.shape == (7, 4) and np.array_equal(weights[:, 0], -weights[:, 1])
+    assert len(asked) == passes and asked[0] == [0, 1] and len(asked[-1]) == 1
