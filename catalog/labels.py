@@ -68,7 +68,7 @@ def _(spark, sf_dir):
 
 @query("vocabulary", f"WITH {TERMS} SELECT * FROM words")
 def _(spark, sf_dir):
-    return features.vocabulary(features.term_counts(table(spark, sf_dir, "documents"), "doc_id"))
+    return features.corpus_vocabulary(table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("vocabulary_bigrams", f"""WITH {TERMS}, grams AS (SELECT * FROM unigrams UNION ALL
@@ -77,9 +77,7 @@ def _(spark, sf_dir):
   SELECT term, sum(tf)::BIGINT AS total, count(*) AS df FROM counts GROUP BY term
   HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 10000""")
 def _(spark, sf_dir):
-    return features.vocabulary(
-        features.term_counts(table(spark, sf_dir, "documents"), "doc_id", n_max=2)
-    )
+    return features.corpus_vocabulary(table(spark, sf_dir, "documents"), "doc_id", n_max=2)
 
 
 @query("tfidf", f"""WITH {TERMS}, n AS (SELECT count(*) AS n FROM documents),

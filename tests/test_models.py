@@ -63,6 +63,23 @@ def test_texts_are_tokenised_once_per_pass(reviews, physical_plan):
     assert plan.count("regexp_extract_all") == 1
 
 
+@pytest.mark.parametrize("max_features, min_docs", [(5, 2), (12, 1), (500, 2)])
+def test_vocabulary_by_buckets_equals_the_whole_count(spark, reviews, monkeypatch, max_features, min_docs):
+    """Few buckets, ties at the border, repeated ids: the same rows in the same order."""
+    rows = reviews.union(reviews.filter("id < 30"))
+    whole = features.vocabulary(features.term_counts(rows, "id", n_max=2), max_features, min_docs).collect()
+    monkeypatch.setattr(features, "WHOLE_BYTES", 0)
+    for buckets in (3, 64, 1 << 20):
+        monkeypatch.setattr(features, "BUCKETS", buckets)
+        got = features.corpus_vocabulary(rows, "id", "text", 2, max_features, min_docs).collect()
+        assert [tuple(r) for r in got] == [tuple(r) for r in whole]
+
+
+def test_parts_of_term_counts_follow_the_size_of_the_texts(spark, reviews, monkeypatch):
+    monkeypatch.setattr(features, "PART_BYTES", features.text_bytes(reviews) // 40)
+    assert features.term_counts(reviews, "id").rdd.getNumPartitions() >= 40
+
+
 def test_folds_are_stratified(reviews):
     placed = folds.assign_folds(reviews, "id")
     sizes = {(r.rating, r.fold): r["count"] for r in placed.groupBy("rating", "fold").count().collect()}
