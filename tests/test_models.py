@@ -75,6 +75,18 @@ def test_vocabulary_by_buckets_equals_the_whole_count(spark, reviews, monkeypatc
         assert [tuple(r) for r in got] == [tuple(r) for r in whole]
 
 
+def test_weights_do_not_depend_on_how_terms_were_counted(reviews, monkeypatch):
+    def rows():
+        return sorted(map(tuple, features.tfidf(reviews, "id", n_max=2, max_features=20).collect()))
+
+    whole = rows()
+    monkeypatch.setattr(features, "WHOLE_BYTES", 0)
+    monkeypatch.setattr(features, "PART_BYTES", features.text_bytes(reviews) // 20)
+    got = rows()
+    assert [r[:2] for r in got] == [r[:2] for r in whole]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in whole])
+
+
 def test_parts_of_term_counts_follow_the_size_of_the_texts(spark, reviews, monkeypatch):
     monkeypatch.setattr(features, "PART_BYTES", features.text_bytes(reviews) // 40)
     assert features.term_counts(reviews, "id").rdd.getNumPartitions() >= 40
