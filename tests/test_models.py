@@ -150,6 +150,26 @@ def test_all_models_reach_their_optimum_in_shared_passes(spark, monkeypatch, los
         assert np.abs(held + 0.5 * one[own].T @ slope[own]).max() < 1e-6
 
 
+def test_an_uneven_problem_is_fitted_in_few_passes(spark):
+    """With 30 steps remembered, this one took 260 passes."""
+    source = np.random.default_rng(3)
+    x = source.normal(size=(150, 100)) * np.arange(1, 101) ** -0.5
+    y = (x @ source.normal(size=100) * 3 + source.normal(size=150) > 0).astype(int)
+    shape = linear.Shape("hinge", 1, 2, 100, 10.0)
+    weights, passes = linear.fit(_packed(spark, x, y, [[0]] * 150), shape, 2000, 1e-8)
+    assert passes < 180
+    one, sign = np.hstack([x, np.ones((150, 1))]), 2 * y - 1
+    short = np.maximum(0, 1 - sign * (one @ weights[:, 1]))
+    assert np.abs(weights[:, 1] - 20.0 * one.T @ (sign * short)).max() < 1e-5
+
+
+def test_the_memory_of_a_fit_is_bounded():
+    wide = linear.Shape("hinge", 4, 5, 10_000, 1.0)
+    assert linear._memory(linear.Shape("hinge", 1, 2, 10_000, 1.0)) == linear.MEMORY
+    assert linear.LEAST_MEMORY <= linear._memory(wide) < linear.MEMORY
+    assert linear._memory(wide) * 16 * 10_001 * 20 <= linear.MEMORY_BYTES
+
+
 def test_squared_hinge_optimum_in_closed_form(spark):
     """Two rows inside the margin: the optimum solves a 2 x 2 system."""
     shape = linear.Shape("hinge", 1, 2, 1, 1.0)
