@@ -7,8 +7,9 @@ ones. In the sorted order of a tree, the documents of a region at some depth are
 with a common prefix of that length. Candidates are a region's members with two of
 them: its first member, and its hub, the member that shares regions with most documents
 over all trees. A template and its many copies meet through the hub, two copies among
-strangers meet in the region that holds them alone. Regions are grouped aggregates and
-equi-joins; nothing collects a region.
+strangers meet in the region that holds them alone. Each document's most frequent hub is
+tried before all others; regions that this leaves in one component need no other candidates.
+Regions are grouped aggregates and equi-joins; nothing collects a region.
 
 Regions with more than two documents have other pairs as well. Those that still hold
 several components when these candidates are linked are sorted: each document is compared
@@ -20,7 +21,8 @@ Documents with equal sets are one node from the start. Candidates whose signatur
 agree too little for the threshold are left out by a margin of ``MARGIN`` standard
 deviations; each document's best candidates are confirmed on full shingle sets first,
 and then those between documents that are not connected yet. Since only connected
-components are asked for, links inside a component need no confirmation.
+components are asked for, links inside a component need no confirmation, and
+no pair is confirmed twice.
 
 Defined results: words are lower-cased in A-Z; a text with fewer than five words is one
 shingle, its words; null and empty texts have no shingles and are linked with nothing;
@@ -34,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -189,7 +192,7 @@ def _least_agreement() -> float:
 
 
 def _sort_rows(turn: int):
-    """(node, sig, trees, family) to a row per tree, with 16 bits of each value in the tree's order."""
+    """(node, sig, trees, family) to a row per tree, with 8 bits of each value in the tree's order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = np.array(_orders(turn=turn))
@@ -197,11 +200,12 @@ def _sort_rows(turn: int):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sig = part.column("sig").flatten().to_numpy().reshape(-1, VALUES).view(np.uint32)
-                short = (sig ^ (sig >> np.uint32(16))).astype(">u2")
+                short = (sig ^ (sig >> np.uint32(16)))
+                short = (short ^ (short >> np.uint32(8))).astype(np.uint8)
                 masks = part.column("trees").to_numpy()
                 row, tree = np.nonzero((masks[:, None] >> np.arange(TREES)) & 1)
                 keys = np.ascontiguousarray(short[row[:, None], orders[tree]])
-                ends = np.arange(len(row) + 1, dtype=np.int32) * (2 * VALUES)
+                ends = np.arange(len(row) + 1, dtype=np.int32) * VALUES
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tree.astype(np.int32)),
                      pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(keys)]),
@@ -246,7 +250,7 @@ def _walk(cuts: bool):
     def pairs(table: pa.Table) -> tuple[list, np.ndarray]:
         tree, node, family = (table.column(x).to_numpy() for x in ("tree", "node", "family"))
         raw = b"".join(table.column("key").to_pylist())
-        found = _next_pairs(tree, np.frombuffer(raw, ">u2").reshape(-1, VALUES), node, family)
+        found = _next_pairs(tree, np.frombuffer(raw, np.uint8).reshape(-1, VALUES), node, family)
         # Later rows can need the last ones, and the last ones of other families than the last.
         others = np.flatnonzero(family != family[-1])[-NEXT:]
         tail = np.union1d(np.arange(max(0, len(node) - NEXT), len(node)), others)
@@ -325,66 +329,109 @@ def _all_trees() -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
 
 
-def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs (a, b, agreement), a < b, of ``nodes`` (node, sig), and of regions with more than
-    two nodes the rows (node, tree, region), and the signatures (node, sig)."""
-    first = nodes.select("node", "sig", _all_trees()).select(
-        "node", _region(F.col("tree"), DEPTHS[0]).alias("region")
-    )
+def crowded(nodes: DataFrame) -> DataFrame:
+    """The ``nodes`` (node, sig) that share a region, and their ``crowd``: members of their regions, in all."""
+    first = _in_trees(nodes).select("node", "region")
     shared = spool(
-        first.groupBy("region").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("low"))
-        .where("members > 1"), "regions",
+        first.groupBy("region").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "regions"
     )
     crowd = spool(
         first.join(shared, "region").groupBy("node").agg(F.sum("members").alias("crowd")), "crowd"
     )
-    dense = spool(likely_in(nodes, F.col("node"), crowd, F.col("node")).join(crowd, "node"), "dense")
-    found = None
+    return spool(likely_in(nodes, F.col("node"), crowd, F.col("node")).join(crowd, "node"), "dense")
+
+
+def _in_trees(nodes: DataFrame) -> DataFrame:
+    """A row per tree, with its first region in place of the signature."""
+    kept = [x for x in nodes.columns if x != "sig"]
+    return nodes.select(*kept, "sig", _all_trees()).select(*kept, "tree", _region(F.col("tree"), DEPTHS[0]).alias("region"))
+
+
+def hub_pairs(dense: DataFrame) -> DataFrame:
+    """Each node's pair (a, b) with the hub that it meets in most of its first regions."""
+    placed = _in_trees(dense).select("node", "crowd", "region")
+    hubs = placed.groupBy("region").agg(F.max(F.struct("crowd", "node")).alias("hub"))
+    met = placed.join(hubs, "region").select("node", F.col("hub.node").alias("hub")).where("node <> hub")
+    return (
+        met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("met"))
+        .groupBy("node").agg(F.max(F.struct("met", "hub")).alias("most"))
+        .select(F.least("node", "most.hub").alias("a"), F.greatest("node", "most.hub").alias("b")).distinct()
+    )
+
+
+def candidates(rooted: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of ``rooted`` (node, crowd, sig, family), none within a family."""
     # A row per tree, with its regions at all depths in place of the signature.
-    rows = dense.select("node", "crowd", "sig", _all_trees()).select(
-        "node", "crowd", "tree", F.array(*[_region(F.col("tree"), d) for d in DEPTHS]).alias("regions")
+    rows = rooted.select("node", "crowd", "family", "sig", _all_trees()).select(
+        "node", "crowd", "family", F.array(*[_region(F.col("tree"), d) for d in DEPTHS]).alias("regions")
     )
+    found = None
     for level in range(len(DEPTHS)):
         placed = rows.withColumn("region", F.get("regions", F.lit(level)))
         regions = (
             placed.groupBy("region").agg(
-                F.count(F.lit(1)).alias("members"), F.min("node").alias("low"),
-                F.max(F.struct("crowd", "node")).alias("hub"),
-            ).where("members > 1")
+                F.count(F.lit(1)).alias("members"), F.min(F.struct("node", "family")).alias("low"),
+                F.max(F.struct("crowd", "node", "family")).alias("hub"),
+                F.min("family").alias("x"), F.max("family").alias("y"),
+            ).where("x <> y").drop("x", "y")
         )
         inside = spool(placed.join(regions, "region"), "level")
-        pairs = inside.select("node", F.col("low").alias("other")).unionByName(
-            inside.select("node", F.col("hub.node").alias("other"))
-        ).where("node <> other").select(
-            F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
-        )
+        pairs = None
+        for other in ("low", "hub"):
+            some = inside.where(F.col("family") != F.col(f"{other}.family")).select(
+                F.least("node", f"{other}.node").alias("a"), F.greatest("node", f"{other}.node").alias("b")
+            )
+            pairs = some if pairs is None else pairs.unionByName(some)
         found = pairs if found is None else found.unionByName(pairs)
-        rows = inside.where("members > 2").select("node", "crowd", "tree", "regions")
-        if level == 0:
-            places = inside.where("members > 2").select("node", "tree", "region")
-    sig = dense.select("node", "sig")
+        rows = inside.where("members > 2").select("node", "crowd", "family", "regions")
+    return found.distinct()
+
+
+def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree enough, with their ``agreement``."""
     same = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-    pairs = (
-        found.distinct()
-        .join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    return (
+        pairs.select("a", "b")
+        .join(signed.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
+        .join(signed.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
         .select("a", "b", (same / F.lit(float(VALUES))).alias("agreement"))
         .where(F.col("agreement") >= _least_agreement())
     )
-    return pairs, places, sig
 
 
-def _apart(places: DataFrame, signed: DataFrame, reached: DataFrame, turn: int) -> DataFrame:
-    """Candidates of the orders of ``turn`` between components that meet in a region."""
-    rooted = places.join(reached, "node", "left").select(
-        "node", "tree", "region", F.coalesce("root", "node").alias("family")
+def _rooted(nodes: DataFrame, reached: DataFrame) -> DataFrame:
+    """``nodes`` with their family: the root of the component, as far as it is known."""
+    return nodes.join(reached, "node", "left").withColumn("family", F.coalesce("root", "node")).drop("root")
+
+
+def _roots(pairs: DataFrame, reached: DataFrame) -> DataFrame:
+    """``pairs`` with ``ra`` and ``rb``, the families of a and b."""
+    root = lambda side: reached.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    return (
+        pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+        .withColumn("ra", F.coalesce("ra", "a")).withColumn("rb", F.coalesce("rb", "b"))
     )
-    mixed = rooted.groupBy("region").agg(F.min("family").alias("x"), F.max("family").alias("y")).where("x <> y")
-    trees = F.bit_or(F.expr("shiftleft(1, tree)")) if not turn else F.lit((1 << TREES) - 1)
-    left = rooted.join(mixed, "region").groupBy("node").agg(
-        F.min("family").alias("family"), trees.cast("int").alias("trees")
+
+
+def _merged(reached: DataFrame, links: DataFrame) -> DataFrame:
+    """``reached`` (node, root) after more links: only their ends' families are a graph, not all links."""
+    joined = components(_roots(links, reached).select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("_least"))
+    return spool(
+        reached.join(moved, "root", "left").select("node", F.coalesce("_least", "root").alias("root"))
+        .unionByName(joined.join(reached.select("node"), "node", "left_anti")), "reached",
     )
-    return sorted_pairs(spool(left.join(signed, "node"), "left"), turn)
+
+
+def _apart(rooted: DataFrame, turn: int) -> DataFrame:
+    """Candidates of the orders of ``turn`` between families that meet in a region."""
+    placed = _in_trees(rooted.select("node", "family", "sig"))
+    mixed = placed.groupBy("region").agg(
+        F.count(F.lit(1)).alias("members"), F.min("family").alias("x"), F.max("family").alias("y")
+    ).where("members > 2 AND x <> y").select("region")
+    trees = F.bit_or(F.expr("shiftleft(1, tree)")) if not turn else F.lit((1 << TREES) - 1)
+    left = placed.join(mixed, "region").groupBy("node").agg(trees.cast("int").alias("trees"))
+    return sorted_pairs(spool(left.join(rooted.select("node", "family", "sig"), "node"), "left"), turn)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -417,8 +464,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ),
         "nodes",
     )
-    pairs, places, signed = candidates(nodes.select("node", "sig"))
-    pairs = spool(pairs, "candidates")
+    dense = crowded(nodes.select("node", "sig"))
     texts = docs.select(
         F.col(id_col).alias("_id"), printed.alias("_print"), F.col(text_col).alias("text")
     )
@@ -437,29 +483,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         ).select("n.node", "t.text")
         return spool(_full_sets(held).dropDuplicates(["node"]), "sets")
 
-    sets = sets_of(pairs)
-    best = pairs.select(F.col("a").alias("node"), "*").unionByName(
-        pairs.select(F.col("b").alias("node"), "*")
-    ).groupBy("node").agg(F.max(F.struct("agreement", "a", "b")).alias("p"))
-    links = spool(_confirmed(best.select("p.a", "p.b").distinct(), sets), "links")
-    reached = components(links)
-    root = lambda side: reached.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
-    apart = spool(
-        pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        .where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "apart",
-    )
-    more = spool(_confirmed(apart, sets), "links")
-    if more.head(1):
-        links = links.unionByName(more)
-        reached = components(links)
+    tested = []
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        known = reduce(DataFrame.unionByName, tested)
+        return spool(pairs.join(known, ["a", "b"], "left_anti"), "candidates")
+
+    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame | None:
+        """The links among the pairs, or None without any."""
+        tested.append(pairs.select("a", "b"))
+        if not pairs.head(1):
+            return None
+        found = spool(_confirmed(pairs, sets_of(pairs) if sets is None else sets), "links")
+        return found if found.head(1) else None
+
+    # Hubs first: a family that its hub holds together has no other candidates.
+    near = spool(_agreeing(hub_pairs(dense), dense), "candidates")
+    tested.append(near.select("a", "b"))
+    reached = components(spool(_confirmed(near, sets_of(near)), "links"))
+    pairs = untested(_agreeing(candidates(_rooted(dense, reached)), dense))
+    if pairs.head(1):
+        sets = sets_of(pairs)
+        best = pairs.select(F.col("a").alias("node"), "*").unionByName(
+            pairs.select(F.col("b").alias("node"), "*")
+        ).groupBy("node").agg(F.max(F.struct("agreement", "a", "b")).alias("p"))
+        more = linked(spool(best.select("p.a", "p.b").distinct(), "best"), sets)
+        if more is not None:
+            reached = _merged(reached, more)
+        more = linked(untested(_roots(pairs, reached).where("ra <> rb").select("a", "b")), sets)
+        if more is not None:
+            reached = _merged(reached, more)
     turn = 0
     while True:
-        fresh = spool(_apart(places, signed, reached, turn), "candidates")
-        more = spool(_confirmed(fresh, sets_of(fresh)), "links") if fresh.head(1) else None
-        if more is None or not more.head(1):
+        more = linked(untested(_apart(_rooted(dense, reached), turn)))
+        if more is None:
             break
-        links = links.unionByName(more)
-        reached = components(links)
+        reached = _merged(reached, more)
         turn += 1
     placed = nodes.select("node", "id").join(reached, "node", "left").select(
         "node", "id", F.coalesce("root", "node").alias("component")

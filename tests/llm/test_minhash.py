@@ -138,6 +138,30 @@ def test_family_without_its_template(spark):
     assert [got[i] for i in range(len(want))] == want
 
 
+def test_copies_of_a_template_have_few_candidates_and_none_twice(spark, monkeypatch):
+    rng = random.Random(4)
+    base = words(rng, 200)
+    texts = [" ".join(base)]
+    for i in range(300):
+        copy = list(base)
+        for at in rng.sample(range(200), 2):
+            copy[at] = f"x{i}y{at}"
+        texts.append(" ".join(copy))
+    passage = words(rng, 120)
+    texts += [" ".join(words(rng, 50) + passage) for _ in range(60)]
+    tested, confirmed = [], minhash._confirmed
+
+    def recorded(pairs, sets):
+        tested.extend(tuple(r) for r in pairs.select("a", "b").collect())
+        return confirmed(pairs, sets)
+
+    monkeypatch.setattr(minhash, "_confirmed", recorded)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(minhash.near_duplicates(df).select("doc_id", "component_id").collect())
+    assert all(got[i] == 0 for i in range(301)) and all(got[i] == i for i in range(301, 361))
+    assert len(tested) == len(set(tested))
+
+
 def test_sorted_neighbours_over_cuts(spark, monkeypatch):
     """Partitions of a few rows compare the same pairs as one partition."""
     rng = np.random.default_rng(3)
