@@ -75,6 +75,20 @@ def test_vocabulary_by_buckets_equals_the_whole_count(spark, reviews, monkeypatc
         assert [tuple(r) for r in got] == [tuple(r) for r in whole]
 
 
+@pytest.mark.parametrize("n_max", [1, 2])
+def test_buckets_are_counted_without_joining_tokens(spark, reviews, physical_plan, n_max):
+    """Tokens by place, no strings made of pairs; one token, none and a null text included."""
+    rows = reviews.select("id", "text").union(
+        spark.createDataFrame([(900, "lonely"), (901, "- !"), (902, None)], "id bigint, text string")
+    )
+    found = features.occurrences(rows, "text", n_max)
+    plan = physical_plan(found.groupBy("bucket").count())
+    assert "concat_ws" not in plan
+    got = found.groupBy("id", F.concat_ws(" ", "_first", "_second").alias("term")).count()
+    want = features.term_counts(rows, "id", n_max=n_max)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_weights_do_not_depend_on_how_terms_were_counted(reviews, monkeypatch):
     def rows():
         return sorted(map(tuple, features.tfidf(reviews, "id", n_max=2, max_features=20).collect()))
