@@ -245,6 +245,11 @@ def _postings(docs: DataFrame, parts: int, hot: dict[int, int]) -> DataFrame:
     return docs.select("row", "learn", "text").mapInArrow(run, _POSTINGS)
 
 
+def _dealt(postings: DataFrame, parts: int) -> DataFrame:
+    """A task for each part: dealt by hash, some tasks would get several and sort them all."""
+    return postings.repartitionById(parts, F.col("part")).sortWithinPartitions("part")
+
+
 def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).flatten().to_numpy(zero_copy_only=False)
 
@@ -269,9 +274,12 @@ def _evaluate(grams: Unigrams):
     totals = np.array([grams.hot[name] for name in names.tolist()], np.int64)
 
     def one(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, learn, second, first, texts, doc, times = [], [], [], [], [], [], []
+        docs, learn, second, first, texts, doc, times = lists = [], [], [], [], [], [], []
         base = 0
-        for batch in batches:
+        # What is packed goes as it is unpacked, and the pieces of each column as it is put together.
+        batches.reverse()
+        while batches:
+            batch = batches.pop()
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 docs.append(_flat(row, "docs"))
@@ -283,21 +291,23 @@ def _evaluate(grams: Unigrams):
                 doc.append(_flat(row, "doc").astype(np.int32) + np.int32(base))
                 times.append(_unpacked(held["times"], np.int32))
                 base += len(docs[-1])
-        docs, learn, second, first, texts, doc, times = map(
-            np.concatenate, (docs, learn, second, first, texts, doc, times)
-        )
-        del batches[:]
+        batch = row = held = None
+        whole = []
+        for pieces in lists:
+            whole.append(np.concatenate(pieces))
+            pieces.clear()
+        docs, learn, second, first, texts, doc, times = whole
+        whole.clear()
         # Pairs of several slices come together.
-        order = np.lexsort((first, second))
-        a, b = second[order], first[order]
-        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(fresh) - 1
-        second, first = a[fresh], b[fresh]
-        pair = np.repeat(group.astype(np.int32), texts)
-        del order, a, b, fresh, group, texts
-        learned = np.where(learn[doc], times, 0)
-        count = np.bincount(pair, learned, minlength=len(second)).astype(np.int64)
+        order = np.lexsort((first, second)).astype(np.int32)
+        second, first = second[order], first[order]
+        fresh = np.concatenate([[True], (second[1:] != second[:-1]) | (first[1:] != first[:-1])])
+        group = np.empty(len(order), np.int32)
+        group[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        second, first = second[fresh], first[fresh]
+        pair = np.repeat(group, texts)
+        del order, fresh, group, texts
+        count = np.bincount(pair, np.where(learn[doc], times, 0), minlength=len(second)).astype(np.int64)
         # A word's count is the sum over its pairs, but for hot words, which are in many parts.
         new = np.concatenate([[True], second[1:] != second[:-1]])
         word = np.cumsum(new) - 1
@@ -354,6 +364,7 @@ def _evaluate(grams: Unigrams):
                     if part is not None and parts[a] != part:
                         yield from one(held)
                         held = []
+                        give_back()
                     part = parts[a]
                     held.append(batch.slice(a, b - a))
         if held:
@@ -393,7 +404,7 @@ def score(
     parts = max(1, -(-int(facts[0] or 0) // PART_BYTES))
     grams = _unigrams(spark.read.schema("word long, n long").parquet(f"{path}/words"), parts)
     found = (
-        _postings(keyed, parts, grams.hot).repartition(parts, "part").sortWithinPartitions("part")
+        _dealt(_postings(keyed, parts, grams.hot), parts)
         .mapInArrow(_evaluate(grams), _OUT)
         .groupBy("kind", "key", "other")
         .agg(*[F.sum(c).alias(c) for c in ("x", "y", "n", "known", *_SMALL)])

@@ -135,6 +135,15 @@ def test_a_part_gets_only_the_texts_it_has_pairs_of(spark):
         assert sent.keys <= min(sent.pairs, 500 * parts)
 
 
+def test_each_part_has_a_task_of_its_own(spark):
+    docs = spark.createDataFrame(
+        [(i, True, f"w{i} w{i + 1} x{i}") for i in range(300)], "row long, learn boolean, text string"
+    ).coalesce(2)
+    dealt = katz._dealt(katz._postings(docs, 40, {}), 40)
+    tasks = dealt.select("part", F.spark_partition_id().alias("task")).distinct().collect()
+    assert len(tasks) == 40 and len({r.task for r in tasks}) == len({r.part for r in tasks}) == 40
+
+
 def test_hot_share_falls_with_the_parts():
     assert [katz.hot_words(p) for p in (1, 50, 1000, 10**7)] == [400, 400, 8000, 1 << 16]
 
