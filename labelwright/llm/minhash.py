@@ -489,12 +489,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         known = reduce(DataFrame.unionByName, tested)
         return spool(pairs.join(known, ["a", "b"], "left_anti"), "candidates")
 
-    def linked(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame | None:
+    def linked(pairs: DataFrame) -> DataFrame | None:
         """The links among the pairs, or None without any."""
         tested.append(pairs.select("a", "b"))
         if not pairs.head(1):
             return None
-        found = spool(_confirmed(pairs, sets_of(pairs) if sets is None else sets), "links")
+        found = spool(_confirmed(pairs, sets_of(pairs)), "links")
         return found if found.head(1) else None
 
     # Hubs first: a family that its hub holds together has no other candidates.
@@ -503,14 +503,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reached = components(spool(_confirmed(near, sets_of(near)), "links"))
     pairs = untested(_agreeing(candidates(_rooted(dense, reached)), dense))
     if pairs.head(1):
-        sets = sets_of(pairs)
+        # Sets are read only for pairs that are confirmed: most others are inside a component by then.
         best = pairs.select(F.col("a").alias("node"), "*").unionByName(
             pairs.select(F.col("b").alias("node"), "*")
         ).groupBy("node").agg(F.max(F.struct("agreement", "a", "b")).alias("p"))
-        more = linked(spool(best.select("p.a", "p.b").distinct(), "best"), sets)
+        more = linked(spool(best.select("p.a", "p.b").distinct(), "best"))
         if more is not None:
             reached = _merged(reached, more)
-        more = linked(untested(_roots(pairs, reached).where("ra <> rb").select("a", "b")), sets)
+        more = linked(untested(_roots(pairs, reached).where("ra <> rb").select("a", "b")))
         if more is not None:
             reached = _merged(reached, more)
     turn = 0

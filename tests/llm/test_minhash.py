@@ -162,6 +162,23 @@ def test_copies_of_a_template_have_few_candidates_and_none_twice(spark, monkeypa
     assert len(tested) == len(set(tested))
 
 
+def test_sets_are_read_only_for_pairs_that_are_confirmed(spark, monkeypatch):
+    texts, want = family(random.Random(8), 300, [3, 4, 5])
+    texts += family(random.Random(9), 60, [5])[0]
+    unneeded, confirmed = [], minhash._confirmed
+
+    def recorded(pairs, sets):
+        needed = {node for pair in pairs.select("a", "b").collect() for node in pair}
+        unneeded.append(len({r.node for r in sets.select("node").collect()} - needed))
+        return confirmed(pairs, sets)
+
+    monkeypatch.setattr(minhash, "_confirmed", recorded)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(minhash.near_duplicates(df).select("doc_id", "component_id").collect())
+    assert [got[i] for i in range(len(want))] == want
+    assert len(unneeded) > 2 and not any(unneeded)
+
+
 def test_sorted_neighbours_over_cuts(spark, monkeypatch):
     """Partitions of a few rows compare the same pairs as one partition."""
     rng = np.random.default_rng(3)
