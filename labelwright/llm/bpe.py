@@ -33,9 +33,9 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, St
 from labelwright.llm.common import give_back, small_slices
 
 #: Bytes of pieces that a task remembers; each costs ``PIECE`` beyond its own.
-MEMORY = 48 << 20
+MEMORY = 24 << 20
 PIECE = 200
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 SLICE_IDS = 1 << 20
 MAX_RANKS_BYTES = 64 << 20
 
@@ -202,7 +202,7 @@ class Encoder:
         for text in texts:
             pieces = self.split(text) if text else []
             codes.append(
-                np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
+                np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int32, len(pieces))
             )
             counts.append(len(pieces))
         if len(number) > known:
@@ -211,13 +211,13 @@ class Encoder:
             ids, sizes = replay(fresh, self.merges)
             self.flat = np.concatenate([self.flat, ids])
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
-        code = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        sizes = self.offsets[code + 1] - self.offsets[code]
+        code = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+        starts = self.offsets[code]
+        sizes = self.offsets[code + 1] - starts
         ends = np.cumsum(sizes)
-        # Place inside the output, minus where the piece begins there, plus where its ids are.
-        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(
-            self.offsets[code] - (ends - sizes), sizes
-        )
+        # Where the piece's ids are, minus where it begins in the output, plus the place there.
+        where = np.repeat(starts - (ends - sizes), sizes)
+        where += np.arange(len(where))
         upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         return self.flat[where], upto
 

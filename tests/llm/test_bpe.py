@@ -94,3 +94,20 @@ def test_round_trip_and_slices(spark, library, monkeypatch):
     both = decode(encode(df, PATH, public_tokenizers.PATTERN), PATH).collect()
     assert [bytes(r.decoded).decode() for r in both] == [given[r.doc_id] or "" for r in both]
     assert len(both) == len(data)
+
+
+def test_memory_of_a_task_is_bounded(ranks):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(400_000)]
+    docs = pa.RecordBatch.from_pydict({"text": [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)]})
+    encoder = Encoder(ranks, public_tokenizers.PATTERN)
+    tracemalloc.start()
+    for part in bpe.small_slices(iter([docs]), "text", bpe.SLICE_BYTES):
+        bpe._encoded(encoder, part.column("text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20, peak
