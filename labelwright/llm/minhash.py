@@ -48,7 +48,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from labelwright.llm.common import free_name, give_back, likely_in, small_slices
 from labelwright.llm.components import components
-from labelwright.session import spool
+from labelwright.session import release, spool
 
 WORDS = 5
 THRESHOLD = 0.75
@@ -338,7 +338,9 @@ def crowded(nodes: DataFrame) -> DataFrame:
     crowd = spool(
         first.join(shared, "region").groupBy("node").agg(F.sum("members").alias("crowd")), "crowd"
     )
-    return spool(likely_in(nodes, F.col("node"), crowd, F.col("node")).join(crowd, "node"), "dense")
+    dense = spool(likely_in(nodes, F.col("node"), crowd, F.col("node")).join(crowd, "node"), "dense")
+    release(shared, crowd)
+    return dense
 
 
 def _in_trees(nodes: DataFrame) -> DataFrame:
@@ -365,7 +367,7 @@ def candidates(rooted: DataFrame) -> DataFrame:
     rows = rooted.select("node", "crowd", "family", "sig", _all_trees()).select(
         "node", "crowd", "family", F.array(*[_region(F.col("tree"), d) for d in DEPTHS]).alias("regions")
     )
-    found = None
+    found, levels = None, []
     for level in range(len(DEPTHS)):
         placed = rows.withColumn("region", F.get("regions", F.lit(level)))
         regions = (
@@ -376,6 +378,7 @@ def candidates(rooted: DataFrame) -> DataFrame:
             ).where("x <> y").drop("x", "y")
         )
         inside = spool(placed.join(regions, "region"), "level")
+        levels.append(inside)
         pairs = None
         for other in ("low", "hub"):
             some = inside.where(F.col("family") != F.col(f"{other}.family")).select(
@@ -384,7 +387,9 @@ def candidates(rooted: DataFrame) -> DataFrame:
             pairs = some if pairs is None else pairs.unionByName(some)
         found = pairs if found is None else found.unionByName(pairs)
         rows = inside.where("members > 2").select("node", "crowd", "family", "regions")
-    return found.distinct()
+    pairs = spool(found.distinct(), "met")
+    release(*levels)
+    return pairs
 
 
 def _agreeing(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -431,7 +436,10 @@ def _apart(rooted: DataFrame, turn: int) -> DataFrame:
     ).where("members > 2 AND x <> y").select("region")
     trees = F.bit_or(F.expr("shiftleft(1, tree)")) if not turn else F.lit((1 << TREES) - 1)
     left = placed.join(mixed, "region").groupBy("node").agg(trees.cast("int").alias("trees"))
-    return sorted_pairs(spool(left.join(rooted.select("node", "family", "sig"), "node"), "left"), turn)
+    left = spool(left.join(rooted.select("node", "family", "sig"), "node"), "left")
+    pairs = spool(sorted_pairs(left, turn), "apart")
+    release(left)
+    return pairs
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -451,37 +459,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = docs.columns
     names = {x: free_name(taken, f"_{x}") for x in ("n", "set", "sig", "print")}
     printed = F.xxhash64(F.col(text_col))
-    sketches = spool(
+    wide = spool(
         _sketches(docs.withColumn(names["print"], printed), text_col, names), "sketches"
     )
-    nodes = spool(
-        sketches.where(F.col(names["set"]).isNotNull())
+    signed = spool(
+        wide.where(F.col(names["set"]).isNotNull())
         .select(F.col(names["set"]).alias("node"), F.col(id_col).alias("id"),
                 F.col(names["print"]).alias("print"), F.col(names["sig"]).alias("sig"))
         .groupBy("node").agg(
             F.min("id").alias("id"), F.min(F.struct("id", "print")).alias("holder"),
             F.min("sig").alias("sig"),
         ),
-        "nodes",
+        "signed",
     )
-    dense = crowded(nodes.select("node", "sig"))
-    texts = docs.select(
-        F.col(id_col).alias("_id"), printed.alias("_print"), F.col(text_col).alias("text")
+    # Signatures take most of the space: one table has them at a time, in the end ``dense``.
+    sketches = spool(wide.drop(names["sig"], names["print"]), "sketches")
+    release(wide)
+    dense = crowded(signed.select("node", "sig"))
+    nodes = spool(
+        signed.select("node", "id", F.xxhash64("holder.print", "holder.id").alias("holder")), "nodes"
     )
+    release(signed)
+    texts = docs.select(F.xxhash64(printed, F.col(id_col)).alias("holder"), F.col(text_col).alias("text"))
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
+    def confirmed(pairs: DataFrame) -> DataFrame:
         # One document holds each set; its text is read again for the sets that pairs need.
+        # Rows of equal id and text are dropped where the join has brought them together.
         needed = spool(
             pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            .join(nodes.select("node", "holder"), "node")
-            .select("node", F.col("holder.id").alias("_id"), F.col("holder.print").alias("_print")),
+            .join(nodes.select("node", "holder"), "node"),
             "needed",
         )
-        held = likely_in(texts, F.col("_print"), needed, F.col("_print")).alias("t").join(
-            needed.alias("n"),
-            (F.col("t._print") == F.col("n._print")) & F.col("t._id").eqNullSafe(F.col("n._id")),
-        ).select("n.node", "t.text")
-        return spool(_full_sets(held).dropDuplicates(["node"]), "sets")
+        held = likely_in(texts, F.col("holder"), needed, F.col("holder")).join(needed, "holder")
+        sets = spool(_full_sets(held.dropDuplicates(["holder"])), "sets")
+        links = spool(_confirmed(pairs, sets), "links")
+        release(needed, sets)
+        return links
 
     tested = []
 
@@ -494,13 +507,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested.append(pairs.select("a", "b"))
         if not pairs.head(1):
             return None
-        found = spool(_confirmed(pairs, sets_of(pairs)), "links")
+        found = confirmed(pairs)
         return found if found.head(1) else None
 
     # Hubs first: a family that its hub holds together has no other candidates.
     near = spool(_agreeing(hub_pairs(dense), dense), "candidates")
     tested.append(near.select("a", "b"))
-    reached = components(spool(_confirmed(near, sets_of(near)), "links"))
+    reached = components(confirmed(near))
     pairs = untested(_agreeing(candidates(_rooted(dense, reached)), dense))
     if pairs.head(1):
         # Sets are read only for pairs that are confirmed: most others are inside a component by then.

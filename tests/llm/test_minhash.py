@@ -193,3 +193,28 @@ def test_sorted_neighbours_over_cuts(spark, monkeypatch):
     cut = sorted(map(tuple, minhash.sorted_pairs(rows, 0).select("a", "b").collect()))
     assert whole and set(whole) <= set(cut)
     assert all(a // 3 != b // 3 for a, b in cut)
+
+
+def test_scratch_is_given_back_on_the_way(spark, monkeypatch):
+    """Signatures lie in one table at a time, and sets and levels go when they have been used."""
+    held, peak = set(), []
+    spool, release = minhash.spool, minhash.release
+
+    def watched(df, name="spool"):
+        held.add(name)
+        peak.append({"sketches", "signed", "dense", "sets", "level"} & held)
+        return spool(df, name)
+
+    def released(*tables):
+        release(*tables)
+        for df in tables:
+            held.discard(df.spooled_at.rsplit("/", 1)[1].rsplit("-", 1)[0])
+
+    monkeypatch.setattr(minhash, "spool", watched)
+    monkeypatch.setattr(minhash, "release", released)
+    words = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join(words[:40] + [words[40 + i % 3]])) for i in range(9)] + [(9, " ".join(words[::-1]))] * 2
+    got = minhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "component_id").collect())) == [(i, 0) for i in range(9)] + [(9, 9)] * 2
+    assert not {"signed", "sets", "level", "regions", "crowd", "needed"} & held
+    assert all(not ({"level", "sets"} <= p or {"signed", "sets"} <= p) for p in peak)
