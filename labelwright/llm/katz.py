@@ -8,9 +8,11 @@ probability is evaluated recursively: the discounted count of the pair, or else
 context's backoff weight times the discounted count of the word, or else the mass of
 unknown words.
 
-The model is two partitioned tables, written by ``score``: ``words`` (count) and ``contexts``
-(count and backoff weight). Pair counts never leave the task that holds all pairs of one
-second word: each text sends its distinct pairs there in packed arrays, and back come
+The model is three partitioned tables, written by ``score``: ``words`` (count), ``contexts``
+(count and backoff weight) and pairs (count), a row for each distinct pair in the file of the
+part of its second word, hot ones by both words. ``look_up`` scores any texts by them. The
+texts that ``score`` is given need no lookup: each sends its distinct pairs to the task that
+counts them, in packed arrays, and back come
 
 * per text, sums of logarithms that are final but for the discounts of small counts, of
   which it counts how often it needs each;
@@ -37,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from labelwright.llm.common import WORD, free_name, give_back, small_slices
 from labelwright.session import scratch_path, spool
@@ -53,7 +55,7 @@ PART_BYTES = 24 << 20
 START = 0x1B873593CC9E2D51
 END = 0x2545F4914F6CDD1D
 
-_DOC, _CONTEXT, _UNSEEN, _COUNTS = range(4)
+_DOC, _CONTEXT, _UNSEEN, _COUNTS, _PAIR = range(5)
 _SMALL = [f"r{i}" for i in range(1, RELIABLE + 2)]
 _OUT = "kind int, key long, other long, x double, y double, n long, known long, " + ", ".join(
     f"{r} long" for r in _SMALL
@@ -349,6 +351,7 @@ def _evaluate(grams: Unigrams):
             _CONTEXT, contexts, x=np.bincount(of, chance[seen], minlength=len(contexts)),
             n=np.bincount(of, count[seen], minlength=len(contexts)).astype(np.int64), small=kinds,
         )
+        yield from _rows(_PAIR, first[seen], other=second[seen], n=count[seen])
         at = ~seen[pair]
         yield from _rows(_UNSEEN, first[pair[at]], other=docs[doc[at]], n=times[at].astype(np.int64))
         r = np.arange(1, RELIABLE + 2, dtype=np.int64)
@@ -386,6 +389,77 @@ class Fitted:
     grams: Unigrams
     kept: list[float]
 
+    def words(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("word long, n long").parquet(f"{self.path}/words")
+
+    def contexts(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("word long, count long, weight double").parquet(f"{self.path}/contexts")
+
+    def pairs(self, spark: SparkSession) -> DataFrame:
+        """(first, second, n): how often each pair of training was met."""
+        return _found(spark, self.path, _PAIR).select(
+            F.col("key").alias("first"), F.col("other").alias("second"), "n"
+        )
+
+
+def _found(spark: SparkSession, path: str, kind: int) -> DataFrame:
+    """What the tasks have found of one kind, not yet summed over parts."""
+    return spark.read.schema(_OUT.replace("kind int, ", "") + ", kind int").parquet(f"{path}/found").where(
+        F.col("kind") == kind
+    )
+
+
+def _kept_of(count: Column, kept: list[float]) -> Column:
+    """The discounted ``count``."""
+    table = F.array(*[F.lit(k * r) for r, k in enumerate(kept, 1)])
+    return F.when(count <= RELIABLE, F.get(table, (count - 1).cast("int"))).otherwise(count - F.lit(CONSTANT))
+
+
+def _text_pairs(docs: DataFrame) -> DataFrame:
+    """(row, text) to (row, first, second, times)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in small_slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
+            first, second, doc = _sequences(part.column("text"))
+            order = np.lexsort((second, first, doc))
+            first, second, doc = first[order], second[order], doc[order]
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+            at = np.flatnonzero(new)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("row").take(pa.array(doc[at])), pa.array(first[at].view(np.int64)),
+                 pa.array(second[at].view(np.int64)), pa.array(np.diff(np.append(at, len(doc))))],
+                ["row", "first", "second", "times"],
+            )
+        give_back()
+
+    return docs.select("row", "text").mapInArrow(run, "row long, first long, second long, times long")
+
+
+def look_up(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score) of any texts, each distinct one once for an id: their tokens looked up in the model's tables.
+
+    A token's pair, or else its context's weight times its word, or else the mass of unknown words.
+    """
+    spark, grams = docs.sparkSession, model.grams
+    keyed = docs.select(
+        F.xxhash64(F.lit("katz"), F.col(id_col), F.col(text_col)).alias("row"), F.col(id_col).alias("id"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    ).dropDuplicates(["row"])
+    lower = F.when(
+        F.col("n").isNotNull(), _kept_of(F.col("n"), grams.kept) / F.lit(float(grams.total or 1))
+    ).otherwise(F.lit(grams.unknown))
+    chance = F.when(
+        F.col("met").isNotNull(), _kept_of(F.col("met"), model.kept) / F.col("count")
+    ).otherwise(F.coalesce("weight", F.lit(1.0)) * lower)
+    tokens = (
+        _text_pairs(keyed)
+        .join(model.pairs(spark).withColumnRenamed("n", "met"), ["first", "second"], "left")
+        .join(model.words(spark).withColumnRenamed("word", "second"), "second", "left")
+        .join(model.contexts(spark).withColumnRenamed("word", "first"), "first", "left")
+    )
+    sums = tokens.groupBy("row").agg(F.sum(F.col("times") * F.log10(chance)).alias("score"))
+    return keyed.select("row", "id").join(sums, "row").select(F.col("id").alias(id_col), "score")
+
 
 def score(
     docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text"
@@ -403,29 +477,27 @@ def score(
     facts = keyed.agg(F.sum(F.octet_length("text")), F.count(F.when(F.col("learn"), 1))).first()
     parts = max(1, -(-int(facts[0] or 0) // PART_BYTES))
     grams = _unigrams(spark.read.schema("word long, n long").parquet(f"{path}/words"), parts)
-    found = (
-        _dealt(_postings(keyed, parts, grams.hot), parts)
-        .mapInArrow(_evaluate(grams), _OUT)
-        .groupBy("kind", "key", "other")
-        .agg(*[F.sum(c).alias(c) for c in ("x", "y", "n", "known", *_SMALL)])
-    )
-    found.write.partitionBy("kind").parquet(f"{path}/sums")
-    sums = spark.read.schema(_OUT.replace("kind int, ", "") + ", kind int").parquet(f"{path}/sums")
-    of_kind = lambda kind: sums.where(F.col("kind") == kind)
-    kept = discounts({r.key: r.n for r in of_kind(_COUNTS).select("key", "n").collect()})
+    # Pairs and contexts of texts are written as they are found; only what several parts share is summed.
+    _dealt(_postings(keyed, parts, grams.hot), parts).mapInArrow(_evaluate(grams), _OUT).write.partitionBy(
+        "kind"
+    ).parquet(f"{path}/found")
+    of_kind = lambda kind: _found(spark, path, kind)
+    summed = lambda kind, *columns: of_kind(kind).groupBy("key").agg(*[F.sum(c).alias(c) for c in columns])
+    kept = discounts({r.key: r.n for r in summed(_COUNTS, "n").collect()})
     free = sum((F.lit((1 - k) * r) * F.col(f"r{r}") for r, k in enumerate(kept, 1)), F.lit(CONSTANT) * F.col(_SMALL[-1]))
-    of_kind(_CONTEXT).select(
+    summed(_CONTEXT, "x", "n", *_SMALL).select(
         F.col("key").alias("word"), F.col("n").alias("count"),
         (free / F.col("n") / (F.lit(1.0) - F.col("x"))).alias("weight"),
     ).write.parquet(f"{path}/contexts")
-    contexts = spark.read.schema("word long, count long, weight double").parquet(f"{path}/contexts")
+    model = Fitted(path, grams, kept)
+    contexts = model.contexts(spark)
     backed = (
         of_kind(_UNSEEN).select(F.col("key").alias("word"), F.col("other").alias("row"), "n")
         .join(contexts, "word")
         .groupBy("row").agg(F.sum(F.col("n") * (F.log10("weight") + F.log10("count"))).alias("backed"))
     )
     used = sum((F.col(f"r{r}") * F.lit(_log10(k)) for r, k in enumerate(kept, 1)), F.lit(0.0))
-    by_row = of_kind(_DOC).select(
+    by_row = summed(_DOC, "x", "y", "n", "known", *_SMALL).select(
         F.col("key").alias("row"), (F.col("x") + used).alias("x"), "y", F.col("n").alias("all"), "known"
     )
     start = _log10(facts[1]) if facts[1] else 0.0
@@ -446,7 +518,7 @@ def score(
         F.lit(grams.total).cast("long").alias("train_tokens"),
         (F.col("s.y") / copies - tokens * F.lit(base)).alias("base_score"),
         ((F.col("s.x") + F.coalesce("s.backed", F.lit(0.0))) / copies - F.lit(start)).alias("score"),
-    ), Fitted(path, grams, kept)
+    ), model
 
 
 OUT = ("n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -159,3 +159,23 @@ def test_packed_numbers_come_back():
         got = [katz._unpacked(part, kind) for part in parts]
         assert all((g == values[a:b]).all() and g.dtype == kind for g, a, b in zip(got, cuts[:-1], cuts[1:]))
         assert len(parts[3]) < values.nbytes / 20
+
+
+def test_pair_counts_are_kept_and_score_other_texts(spark, monkeypatch):
+    monkeypatch.setattr(katz, "PART_BYTES", 4000)
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scored, model = katz.score(df, F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2)
+    brute = Brute([t for i, t in rows if learned(i)])
+    pairs = model.pairs(spark)
+    assert pairs.count() == pairs.select("first", "second").distinct().count() == sum(map(len, brute.two.values()))
+    assert Counter(r.n for r in pairs.collect()) == Counter(c for row in brute.two.values() for c in row.values())
+    own = {(r.doc_id, round(r.score, 6)) for r in scored.collect()}
+    assert {(r.doc_id, round(r.score, 6)) for r in katz.look_up(df, model).collect()} == own
+    others = [(1, "w1 w0 unheard w2 THE of words"), (2, None), (3, "hot hot w5"), (4, "always always " * 30)]
+    found = dict(katz.look_up(spark.createDataFrame(others, "doc_id long, text string"), model).collect())
+    for i, text in others:
+        assert math.isclose(found[i], brute.score(text), rel_tol=1e-9), i
+    # Without training texts, every token is an unknown word.
+    _, nothing = katz.score(df, F.lit(False))
+    assert {r.score for r in katz.look_up(df, nothing).collect()} == {0.0}
