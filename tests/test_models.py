@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -316,3 +317,42 @@ def test_two_hinge_classes_are_fitted_once(spark, monkeypatch):
     weights, passes = linear.fit(_packed(spark, x, y, members), shape, 1000, 1e-9)
     assert weights.shape == (7, 4) and np.array_equal(weights[:, 0], -weights[:, 1])
     assert len(asked) == passes and asked[0] == [0, 1] and len(asked[-1]) == 1
+
+
+def test_blocks_are_bounded_by_their_entries():
+    lengths = np.array([0, 3, linear.BLOCK_ENTRIES + 1, 0, linear.BLOCK_ENTRIES, 1, *[0] * (linear.BLOCK_ROWS + 1)])
+    cuts = list(linear._cuts(lengths))
+    assert [rows for _, rows in cuts] == [2, 1, 2, linear.BLOCK_ROWS, 2]
+    assert [start for start, _ in cuts] == [0, 2, 3, 5, 5 + linear.BLOCK_ROWS]
+    assert list(linear._cuts(np.array([], np.int32))) == []
+
+
+def test_wide_rows_fill_no_large_block_and_no_large_row_group(spark):
+    """400 rows of 5,000 features are 24 MB of entries: they were one block, in one row group of one page."""
+    features = F.struct(
+        F.sequence(F.lit(0), F.lit(4_999)).alias("indices"),
+        F.transform(F.sequence(F.lit(0), F.lit(4_999)), lambda i: F.rand(3) + i).alias("values"),
+    )
+    rows = spark.range(400).coalesce(1).select(
+        features.alias("features"), F.lit(1).alias("target"), F.array(F.lit(0)).alias("models")
+    )
+    setting = spark.conf.get(linear._BATCH_SETTING)
+    blocks = linear.pack(rows, 1)
+    assert spark.conf.get(linear._BATCH_SETTING) == setting
+    held = blocks.select("n", (F.octet_length("columns") / 4).alias("entries")).collect()
+    assert sum(block.n for block in held) == 400 and sum(block.entries for block in held) == 2_000_000
+    assert max(block.entries for block in held) <= linear.BLOCK_ENTRIES
+    (path,) = [file.removeprefix("file://") for file in blocks.inputFiles()]
+    found = pq.ParquetFile(path).metadata
+    groups = [found.row_group(at) for at in range(found.num_row_groups)]
+    assert max(group.total_byte_size for group in groups) <= 12 << 20
+
+
+def test_a_fit_keeps_no_blocks_in_the_executors_memory(spark, monkeypatch):
+    levels, one_pass = [], linear.one_pass
+    monkeypatch.setattr(
+        linear, "one_pass", lambda blocks, *rest: levels.append(blocks.getStorageLevel()) or one_pass(blocks, *rest)
+    )
+    x, y = _dense(3, 20, 6, 2)
+    linear.fit(_packed(spark, x, y, [[0]] * 20), linear.Shape("hinge", 1, 2, 6, 1.0), 5)
+    assert levels and all(level.useDisk and not level.useMemory for level in levels)
